@@ -65,3 +65,167 @@ SELECT date, {STAGE_LIST}, CAST(year(date) AS INTEGER) AS year, CAST(month(date)
        CASE WHEN APP > 0 THEN {O.r6(O.pct('RE', 'APP'))} END AS app_to_re_pct
 FROM m"""),
 )(lambda spark, sf: A.monthly_trend(panel(spark, sf)))
+
+# ============================================================================ A3 - A12
+register(
+    "yearly_summary",
+    O.with_panel(f"""
+m AS (SELECT year, date, CAST(sum(APP) AS BIGINT) AS APP, CAST(sum(RE) AS BIGINT) AS RE FROM panel GROUP BY year, date),
+pk AS (SELECT year, strftime(date, '%b') AS peak_month
+       FROM (SELECT year, date, row_number() OVER (PARTITION BY year ORDER BY APP DESC, date ASC) AS rn FROM m) WHERE rn = 1),
+s AS (SELECT year, CAST(sum(APP) AS BIGINT) AS total_applications, avg(APP) AS avg_monthly_applications,
+             max(APP) AS peak_month_applications, min(APP) AS min_month_applications,
+             stddev_samp(APP) AS std_monthly_applications, count(APP) AS months_observed,
+             CAST(sum(RE) AS BIGINT) AS total_realizations
+      FROM m GROUP BY year)
+SELECT s.year, total_applications, {O.r6('avg_monthly_applications')} AS avg_monthly_applications,
+       peak_month_applications, min_month_applications, {O.r6('std_monthly_applications')} AS std_monthly_applications,
+       months_observed, total_realizations, {O.r6(O.pct('total_realizations', 'total_applications'))} AS app_to_re_pct,
+       {O.r6(O.growth('total_applications', 'lag(total_applications) OVER (ORDER BY s.year)'))} AS yoy_growth_pct,
+       peak_month
+FROM s LEFT JOIN pk ON s.year = pk.year"""),
+)(lambda spark, sf: A.yearly_summary(panel(spark, sf)))
+
+register(
+    "seasonality_profile",
+    O.with_panel(f"""
+m AS (SELECT date, CAST(sum(APP) AS DOUBLE) AS y FROM panel GROUP BY date),
+p AS (SELECT CAST(month(date) AS INTEGER) AS month, strftime(date, '%b') AS month_name,
+             avg(y) AS mean_applications, median(y) AS median_applications, stddev_samp(y) AS std_applications,
+             CAST(min(y) AS BIGINT) AS min_applications, CAST(max(y) AS BIGINT) AS max_applications, count(y) AS observations
+      FROM m GROUP BY 1, 2),
+q AS (SELECT quantile_cont(mean_applications, 0.25) AS lo, quantile_cont(mean_applications, 0.75) AS hi FROM p),
+o AS (SELECT avg(y) AS om FROM m)
+SELECT month, month_name, {O.r6('mean_applications')} AS mean_applications, {O.r6('median_applications')} AS median_applications,
+       {O.r6('std_applications')} AS std_applications, min_applications, max_applications, observations,
+       {O.r6('mean_applications / NULLIF(om, 0)')} AS seasonal_index,
+       CASE WHEN mean_applications >= hi THEN 'High' WHEN mean_applications <= lo THEN 'Low' ELSE 'Medium' END AS season_label
+FROM p CROSS JOIN q CROSS JOIN o"""),
+)(lambda spark, sf: A.seasonality_profile(panel(spark, sf)))
+
+register(
+    "peak_months",
+    O.with_panel("""
+m AS (SELECT date, CAST(sum(APP) AS BIGINT) AS applications FROM panel GROUP BY date)
+SELECT CAST(rank() OVER (ORDER BY applications DESC) AS INTEGER) AS rank, strftime(date, '%b %Y') AS month, applications
+FROM m ORDER BY applications DESC, date ASC LIMIT 10"""),
+)(lambda spark, sf: A.peak_months(panel(spark, sf), top_n=10))
+
+_STAGE_VALUES = ", ".join(
+    f"({i + 1}, '{s}', '{lbl}')"
+    for i, (s, lbl) in enumerate(
+        [("APP", "Applied"), ("ACH", "Achieved / Matched"), ("ACC", "Accepted"), ("APD", "Approved"),
+         ("RE", "Realized"), ("FI", "Finished"), ("CO", "Completed")]
+    )
+)
+_STAGE_CASE = "CASE l.stage " + " ".join(f"WHEN '{s}' THEN t.{s}" for s in O.STAGES) + " END"
+
+register(
+    "funnel_overall",
+    O.with_panel(f"""
+t AS (SELECT {O.sums()} FROM panel),
+l AS (SELECT * FROM (VALUES {_STAGE_VALUES}) v(stage_order, stage, stage_label)),
+c AS (SELECT l.stage_order, l.stage, l.stage_label, CAST(coalesce({_STAGE_CASE}, 0) AS BIGINT) AS "count",
+             coalesce(t.APP, 0) AS top FROM l CROSS JOIN t),
+d AS (SELECT *, lag("count") OVER (ORDER BY stage_order) AS prev FROM c),
+e AS (SELECT stage_order, stage, stage_label, "count",
+             CASE WHEN prev IS NOT NULL AND prev <> 0 THEN CAST("count" AS DOUBLE) / prev * 100 ELSE 100.0 END AS conversion_from_previous_pct,
+             CAST("count" AS DOUBLE) / (CASE WHEN top = 0 THEN 1 ELSE top END) * 100 AS conversion_from_APP_pct,
+             CAST(coalesce(prev - "count", 0) AS BIGINT) AS dropoff_count,
+             CASE WHEN prev IS NOT NULL AND prev <> 0 THEN CAST(prev - "count" AS DOUBLE) / prev * 100 ELSE 0.0 END AS dropoff_pct
+      FROM d)
+SELECT CAST(stage_order AS INTEGER) AS stage_order, stage, stage_label, "count",
+       {O.r6('conversion_from_previous_pct')} AS conversion_from_previous_pct,
+       {O.r6('conversion_from_APP_pct')} AS conversion_from_APP_pct, dropoff_count, {O.r6('dropoff_pct')} AS dropoff_pct,
+       (stage_order > 1 AND row_number() OVER (ORDER BY (stage_order > 1) DESC, dropoff_count DESC, stage_order) = 1) AS is_biggest_dropoff
+FROM e"""),
+)(lambda spark, sf: A.funnel_overall(panel(spark, sf)))
+
+
+def _funnel_dim_sql(dim: str) -> str:
+    pairs = list(zip(O.STAGES, O.STAGES[1:]))
+    rates = ",\n       ".join(f"{O.r6(O.pct(b, a))} AS conv_{a}_to_{b}_pct" for a, b in pairs)
+    return O.with_panel(f"""
+g AS (SELECT {dim}, {O.sums()} FROM panel GROUP BY {dim})
+SELECT {dim}, {STAGE_LIST},
+       {rates},
+       {O.r6(O.pct('RE', 'APP'))} AS app_to_re_pct, {O.r6(O.pct('CO', 'APP'))} AS app_to_co_pct
+FROM g""")
+
+
+for _dim, _key in (("programme", "funnel_by_programme"), ("year", "funnel_by_year"), ("entity", "funnel_by_entity"),
+                   ("direction", "funnel_by_direction")):
+    register(_key, _funnel_dim_sql(_dim))(lambda spark, sf, _d=_dim: A.funnel_by_dimension(panel(spark, sf), _d))
+
+
+def _growth_sql(key: str) -> str:
+    return f"""
+yrs AS (SELECT min(year) AS y0, max(year) AS y1 FROM panel),
+gr AS (SELECT {key}, sum(CASE WHEN year = y0 THEN APP END) AS fy, sum(CASE WHEN year = y1 THEN APP END) AS ly,
+              max(y0) AS y0, max(y1) AS y1
+       FROM panel CROSS JOIN yrs GROUP BY {key})"""
+
+
+register(
+    "entity_performance",
+    O.with_panel(f"""
+tot AS (SELECT entity, {O.sums()} FROM panel GROUP BY entity),
+g AS (SELECT sum(APP) AS gt FROM panel),
+mon AS (SELECT entity, date, sum(APP) AS y FROM panel GROUP BY entity, date),
+st AS (SELECT entity, avg(y) AS avg_monthly_applications, stddev_samp(y) AS sd FROM mon GROUP BY entity),
+{_growth_sql('entity')}
+SELECT CAST(row_number() OVER (ORDER BY tot.APP DESC, tot.entity ASC) AS INTEGER) AS rank, tot.entity,
+       {", ".join('tot.' + s for s in O.STAGES)},
+       {O.r6(O.pct('tot.APP', 'g.gt'))} AS mc_share_pct, {O.r6(O.pct('tot.RE', 'tot.APP'))} AS app_to_re_pct,
+       {O.r6('st.avg_monthly_applications')} AS avg_monthly_applications,
+       {O.r6('st.sd / NULLIF(st.avg_monthly_applications, 0)')} AS consistency_cv,
+       CASE WHEN gr.y1 > gr.y0 THEN {O.r6(O.pct('gr.ly - gr.fy', 'gr.fy'))} END AS growth_pct,
+       CASE WHEN gr.y1 > gr.y0 THEN CAST(gr.y0 AS VARCHAR) || '->' || CAST(gr.y1 AS VARCHAR) END AS growth_period
+FROM tot CROSS JOIN g LEFT JOIN st ON tot.entity = st.entity LEFT JOIN gr ON tot.entity = gr.entity"""),
+)(lambda spark, sf: A.entity_performance(panel(spark, sf)))
+
+register(
+    "product_performance",
+    O.with_panel(f"""
+tot AS (SELECT programme, product, direction, {O.sums()} FROM panel GROUP BY programme, product, direction),
+g AS (SELECT sum(APP) AS gt FROM panel),
+bm AS (SELECT programme, month, sum(APP) AS y FROM panel GROUP BY programme, month),
+pk AS (SELECT programme, strftime(make_date(2000, month, 1), '%b') AS peak_month
+       FROM (SELECT *, row_number() OVER (PARTITION BY programme ORDER BY y DESC, month ASC) AS rn FROM bm) WHERE rn = 1),
+{_growth_sql('programme')}
+SELECT tot.programme, tot.product, tot.direction, {", ".join('tot.' + s for s in O.STAGES)},
+       {O.r6(O.pct('tot.APP', 'g.gt'))} AS mc_share_pct, {O.r6(O.pct('tot.RE', 'tot.APP'))} AS app_to_re_pct,
+       pk.peak_month,
+       CASE WHEN gr.y1 > gr.y0 THEN {O.r6(O.pct('gr.ly - gr.fy', 'gr.fy'))} END AS growth_pct
+FROM tot CROSS JOIN g LEFT JOIN pk ON tot.programme = pk.programme LEFT JOIN gr ON tot.programme = gr.programme"""),
+)(lambda spark, sf: A.product_performance(panel(spark, sf)))
+
+_CONTRIB_CTE = f"""
+m AS (SELECT year, month, CAST(sum(APP) AS BIGINT) AS APP FROM panel GROUP BY year, month),
+c AS (SELECT year, month, APP, strftime(make_date(2000, month, 1), '%b') AS month_name,
+             {O.pct('APP', 'sum(APP) OVER (PARTITION BY year)')} AS contribution_pct,
+             CAST(rank() OVER (PARTITION BY year ORDER BY APP DESC) AS INTEGER) AS rank_in_year
+      FROM m)"""
+
+register(
+    "monthly_contribution",
+    O.with_panel(f"""{_CONTRIB_CTE}
+SELECT year, month, APP, month_name, {O.r6('contribution_pct')} AS contribution_pct,
+       {O.r6('contribution_pct - 100.0 / 12.0')} AS vs_even_split_pp, rank_in_year
+FROM c"""),
+)(lambda spark, sf: A.monthly_contribution(panel(spark, sf)))
+
+_MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+register(
+    "contribution_matrix",
+    O.with_panel(f"""{_CONTRIB_CTE}
+SELECT year, {", ".join(f"{O.r6(f'max(CASE WHEN month = {i + 1} THEN contribution_pct END)')} AS {m}" for i, m in enumerate(_MONTHS))}
+FROM c GROUP BY year"""),
+)(lambda spark, sf: A.contribution_matrix(panel(spark, sf)))
+
+register(
+    "year_overlay",
+    O.with_panel("""
+m AS (SELECT year, month, CAST(sum(APP) AS BIGINT) AS y FROM panel GROUP BY year, month)
+SELECT * FROM (PIVOT m ON year USING first(y) GROUP BY month)"""),
+)(lambda spark, sf: A.year_overlay(panel(spark, sf)))
