@@ -15,6 +15,7 @@ from funnelcast import oracle as O
 from funnelcast.functions.columns import round_doubles
 from funnelcast.operators import reports as A
 from funnelcast.sources.testpanel import build_test_panel
+from funnelcast.plans.materialize import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,8 +36,22 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+_PANELS: dict = {}
+
+
 def panel(spark: SparkSession, sf_dir: str, variant: str = "main") -> DataFrame:
-    return build_test_panel(spark, sf_dir, variant)
+    """The test panel, built once per (application, folder, variant) and checkpointed.
+
+    Scan sharing: the expensive part (lineitem/orders/customer joins) runs once;
+    every report reads the checkpointed panel from the shared checkpoint folder,
+    which also survives executor loss without recomputing the joins.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, variant)
+    cached = _PANELS.get(key)
+    if cached is None:
+        cached = materialize(build_test_panel(spark, sf_dir, variant))
+        _PANELS[key] = cached
+    return cached
 
 
 STAGE_LIST = ", ".join(O.STAGES)
@@ -229,3 +244,301 @@ register(
 m AS (SELECT year, month, CAST(sum(APP) AS BIGINT) AS y FROM panel GROUP BY year, month)
 SELECT * FROM (PIVOT m ON year USING first(y) GROUP BY month)"""),
 )(lambda spark, sf: A.year_overlay(panel(spark, sf)))
+
+# ============================================================================ V1 - V12
+from funnelcast.operators import quality as V  # noqa: E402
+from funnelcast.sources.tables import read_table  # noqa: E402
+
+COLLECTION_WINDOW = ("1995-01-01", "2001-12-31")
+_PAIRS = list(zip(O.STAGES, O.STAGES[1:]))
+
+
+def _pass_sql(names: tuple[str, ...], variant: str = "main") -> str:
+    aggs = ["count(*) AS nrows"]
+    aggs += [f"count_if({s} < 0) AS neg_{s}" for s in O.STAGES]
+    aggs += [f"sum({s}) AS tot_{s}" for s in O.STAGES]
+    aggs += [f"count_if({b} > {a}) AS inv_{a}_{b}" for a, b in _PAIRS]
+    aggs += ["count(DISTINCT date) AS months", "count(DISTINCT entity) AS entities", "count(DISTINCT programme) AS programmes"]
+    neg_n = " + ".join(f"neg_{s}" for s in O.STAGES)
+    neg_d = ", ".join(f"CASE WHEN neg_{s} > 0 THEN '{s}:' || CAST(neg_{s} AS VARCHAR) END" for s in O.STAGES)
+    agg_n = " + ".join(f"(CASE WHEN tot_{b} > tot_{a} THEN 1 ELSE 0 END)" for a, b in _PAIRS)
+    agg_d = ", ".join(f"CASE WHEN tot_{b} > tot_{a} THEN '{b}>{a}' END" for a, b in _PAIRS)
+    row_n = " + ".join(f"inv_{a}_{b}" for a, b in _PAIRS)
+    row_d = ", ".join(f"CASE WHEN inv_{a}_{b} > 0 THEN '{b}>{a}:' || CAST(inv_{a}_{b} AS VARCHAR) END" for a, b in _PAIRS)
+    rows = [
+        ("nonempty", "error", "CASE WHEN nrows = 0 THEN 1 ELSE 0 END", "NULL"),
+        ("negative_counts", "error", neg_n, f"NULLIF(concat_ws(',', {neg_d}), '')"),
+        ("funnel_aggregate", "error", agg_n, f"NULLIF(concat_ws(',', {agg_d}), '')"),
+        ("funnel_rows", "warning", row_n, f"NULLIF(concat_ws(',', {row_d}), '')"),
+        ("stat_rows", "info", "nrows", "NULL"),
+        ("stat_months", "info", "months", "NULL"),
+        ("stat_entities", "info", "entities", "NULL"),
+        ("stat_programmes", "info", "programmes", "NULL"),
+        ("stat_total_APP", "info", "coalesce(tot_APP, 0)", "NULL"),
+    ]
+    union = "\n  UNION ALL ".join(
+        f"SELECT '{c}' AS \"check\", '{sev}' AS severity, CAST({n} AS BIGINT) AS n, CAST({d} AS VARCHAR) AS detail FROM a"
+        for c, sev, n, d in rows if c in names
+    )
+    return f"""a AS (SELECT {", ".join(aggs)} FROM panel),
+r_pass AS ({union})"""
+
+
+_GAPS_SQL = f"""cal AS (SELECT CAST(unnest(generate_series(DATE '{COLLECTION_WINDOW[0]}', DATE '{COLLECTION_WINDOW[1]}', INTERVAL 1 MONTH)) AS DATE) AS date),
+gaps AS (SELECT date FROM cal WHERE date NOT IN (SELECT DISTINCT date FROM panel)),
+r_gaps AS (SELECT 'month_gaps' AS "check", 'error' AS severity, CAST(count(*) AS BIGINT) AS n,
+                  NULLIF(array_to_string(list_slice(list(strftime(date, '%Y-%m') ORDER BY date), 1, 6), ','), '') AS detail FROM gaps)"""
+_DUPES_SQL = """r_dupes AS (SELECT 'duplicates' AS "check", 'warning' AS severity,
+                   CAST(coalesce(sum(CASE WHEN c > 1 THEN c - 1 END), 0) AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS detail
+            FROM (SELECT count(*) AS c FROM panel GROUP BY date, entity, programme))"""
+_ZERO_SQL = """r_zero AS (SELECT 'zero_months' AS "check", 'warning' AS severity, CAST(count_if(t = 0) AS BIGINT) AS n,
+                  CAST(NULL AS VARCHAR) AS detail FROM (SELECT sum(APP) AS t FROM panel GROUP BY date))"""
+_REQ_SQL = """r_req AS (SELECT 'required_columns' AS "check", 'error' AS severity, CAST(0 AS BIGINT) AS n,
+                 CAST(NULL AS VARCHAR) AS detail FROM (SELECT count(*) FROM panel))"""
+
+
+def _dq(name, checks, variant="main"):
+    sql = O.with_panel(f"""{_pass_sql(checks, variant)}
+SELECT * FROM r_pass""", variant)
+    fn = (lambda spark, sf: V.pass_checks(panel(spark, sf, variant)).where(F.col("check").isin(*checks)))
+    register(name, sql)(fn)
+
+
+from pyspark.sql import functions as F  # noqa: E402
+
+_dq("dq_nonempty", ("nonempty",))
+_dq("dq_negative_counts", ("negative_counts",))
+_dq("dq_funnel_aggregate", ("funnel_aggregate",), "period")
+_dq("dq_funnel_rows", ("funnel_rows",), "period")
+_dq("dq_stats", ("stat_rows", "stat_months", "stat_entities", "stat_programmes", "stat_total_APP"))
+
+register("dq_required_columns", O.with_panel(f"{_REQ_SQL}\nSELECT * FROM r_req"))(
+    lambda spark, sf: V.check_required_columns(panel(spark, sf)))
+register("dq_month_gaps", O.with_panel(f"{_GAPS_SQL}\nSELECT * FROM r_gaps"))(
+    lambda spark, sf: V.check_month_gaps(panel(spark, sf), *COLLECTION_WINDOW))
+register("dq_duplicates", O.with_panel(f"{_DUPES_SQL}\nSELECT * FROM r_dupes"))(
+    lambda spark, sf: V.check_duplicates(panel(spark, sf)))
+register("dq_zero_months", O.with_panel(f"{_ZERO_SQL}\nSELECT * FROM r_zero"))(
+    lambda spark, sf: V.check_zero_months(panel(spark, sf)))
+
+_ALL_PASS = ("nonempty", "negative_counts", "funnel_aggregate", "funnel_rows", "stat_rows", "stat_months",
+             "stat_entities", "stat_programmes", "stat_total_APP")
+register(
+    "dq_report",
+    O.with_panel(f"""{_pass_sql(_ALL_PASS)},
+{_GAPS_SQL},
+{_DUPES_SQL},
+{_ZERO_SQL},
+{_REQ_SQL},
+allr AS (SELECT * FROM r_req UNION ALL SELECT * FROM r_pass UNION ALL SELECT * FROM r_gaps
+         UNION ALL SELECT * FROM r_dupes UNION ALL SELECT * FROM r_zero),
+f AS (SELECT *, (severity IN ('error', 'warning') AND n > 0) AS failed FROM allr)
+SELECT *, bool_and(NOT (failed AND severity = 'error')) OVER () AS passed FROM f"""),
+)(lambda spark, sf: V.validate(panel(spark, sf), start=COLLECTION_WINDOW[0], end=COLLECTION_WINDOW[1]))
+
+_RECON_UNION = "\n  UNION ALL ".join(
+    f"SELECT {i + 1} AS stage_order, '{s}' AS stage, CAST(w_{s} AS BIGINT) AS sum_of_windows, "
+    f"CAST(f_{s} AS BIGINT) AS full_window, CAST(w_{s} - f_{s} AS BIGINT) AS delta FROM b"
+    for i, s in enumerate(O.STAGES)
+)
+register(
+    "reconcile_totals",
+    O.with_panel(f"""
+r AS (SELECT date, {", ".join(f"sum({s}) AS {s}" for s in O.STAGES)}, GROUPING(date) AS gid
+      FROM panel GROUP BY GROUPING SETS ((date), ())),
+b AS (SELECT {", ".join(f"sum(CASE WHEN gid = 0 THEN {s} END) AS w_{s}" for s in O.STAGES)},
+             {", ".join(f"max(CASE WHEN gid = 1 THEN {s} END) AS f_{s}" for s in O.STAGES)} FROM r)
+{_RECON_UNION}"""),
+)(lambda spark, sf: V.reconcile_totals(panel(spark, sf)))
+
+
+def _order_records(spark, sf):
+    o = read_table(spark, sf, "orders", ["o_custkey", "o_orderdate"])
+    return o.select("o_custkey", F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("date"))
+
+
+register(
+    "distinct_nonadditive",
+    """
+WITH rec AS (SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS date FROM orders),
+pm AS (SELECT date, count(*) AS records, count(DISTINCT o_custkey) AS persons FROM rec GROUP BY date),
+fw AS (SELECT count(*) AS fr, count(DISTINCT o_custkey) AS fd FROM rec),
+m AS (SELECT sum(records) AS sr, sum(persons) AS sd FROM pm)
+SELECT CAST(sr AS BIGINT) AS sum_of_monthly_records, CAST(fr AS BIGINT) AS full_window_records,
+       CAST(sd AS BIGINT) AS sum_of_monthly_distinct, CAST(fd AS BIGINT) AS full_window_distinct,
+       CAST(sd - fd AS BIGINT) AS distinct_overcount, (sr = fr) AS records_additive, (sd = fd) AS distinct_additive
+FROM m CROSS JOIN fw""",
+)(lambda spark, sf: V.distinct_nonadditive(_order_records(spark, sf), "o_custkey"))
+
+# ============================================================================ A14 - A25
+from funnelcast.operators import kpis as K  # noqa: E402
+
+_EP_CTE = f"""ep_tot AS (SELECT entity, {O.sums()} FROM panel GROUP BY entity),
+ep_g AS (SELECT sum(APP) AS gt FROM panel),
+ep_mon AS (SELECT entity, date, sum(APP) AS y FROM panel GROUP BY entity, date),
+ep_st AS (SELECT entity, avg(y) AS avg_monthly_applications, stddev_samp(y) AS sd FROM ep_mon GROUP BY entity),
+ep_yrs AS (SELECT min(year) AS y0, max(year) AS y1 FROM panel),
+ep_gr AS (SELECT entity, sum(CASE WHEN year = y0 THEN APP END) AS fy, sum(CASE WHEN year = y1 THEN APP END) AS ly,
+                 max(y0) AS y0, max(y1) AS y1 FROM panel CROSS JOIN ep_yrs GROUP BY entity),
+ep AS (SELECT CAST(row_number() OVER (ORDER BY t.APP DESC, t.entity ASC) AS INTEGER) AS rank, t.*,
+              {O.pct('t.APP', 'g.gt')} AS mc_share_pct, {O.pct('t.RE', 't.APP')} AS app_to_re_pct,
+              s.avg_monthly_applications, s.sd / NULLIF(s.avg_monthly_applications, 0) AS consistency_cv,
+              CASE WHEN gr.y1 > gr.y0 THEN {O.pct('gr.ly - gr.fy', 'gr.fy')} END AS growth_pct,
+              CASE WHEN gr.y1 > gr.y0 THEN CAST(gr.y0 AS VARCHAR) || '->' || CAST(gr.y1 AS VARCHAR) END AS growth_period
+       FROM ep_tot t CROSS JOIN ep_g g LEFT JOIN ep_st s ON t.entity = s.entity LEFT JOIN ep_gr gr ON t.entity = gr.entity)"""
+
+_PP_CTE = f"""pp_tot AS (SELECT programme, product, direction, {O.sums()} FROM panel GROUP BY programme, product, direction),
+pp_g AS (SELECT sum(APP) AS gt FROM panel),
+pp_bm AS (SELECT programme, month, sum(APP) AS y FROM panel GROUP BY programme, month),
+pp_pk AS (SELECT programme, strftime(make_date(2000, month, 1), '%b') AS peak_month
+          FROM (SELECT *, row_number() OVER (PARTITION BY programme ORDER BY y DESC, month ASC) AS rn FROM pp_bm) WHERE rn = 1),
+pp AS (SELECT t.*, {O.pct('t.APP', 'g.gt')} AS mc_share_pct, {O.pct('t.RE', 't.APP')} AS app_to_re_pct, pk.peak_month,
+              row_number() OVER (ORDER BY t.APP DESC, t.programme ASC) AS vol_rank
+       FROM pp_tot t CROSS JOIN pp_g g LEFT JOIN pp_pk pk ON t.programme = pk.programme)"""
+
+_PROF_CTE = """pf_m AS (SELECT date, CAST(sum(APP) AS DOUBLE) AS y FROM panel GROUP BY date),
+pf_p AS (SELECT CAST(month(date) AS INTEGER) AS month, strftime(date, '%b') AS month_name, avg(y) AS mean_applications
+         FROM pf_m GROUP BY 1, 2),
+pf_q AS (SELECT quantile_cont(mean_applications, 0.25) AS lo, quantile_cont(mean_applications, 0.75) AS hi FROM pf_p),
+prof AS (SELECT p.*, p.mean_applications / NULLIF(o.om, 0) AS idx,
+                CASE WHEN mean_applications >= hi THEN 'High' WHEN mean_applications <= lo THEN 'Low' ELSE 'Medium' END AS season_label
+         FROM pf_p p CROSS JOIN pf_q CROSS JOIN (SELECT avg(y) AS om FROM pf_m) o)"""
+
+_FO_CTE = f"""fo_t AS (SELECT {O.sums()} FROM panel),
+fo_l AS (SELECT * FROM (VALUES {_STAGE_VALUES}) v(stage_order, stage, stage_label)),
+fo_c AS (SELECT l.stage_order, l.stage, l.stage_label, CAST(coalesce({_STAGE_CASE.replace('t.', 'fo_t.')}, 0) AS BIGINT) AS cnt,
+                coalesce(fo_t.APP, 0) AS top FROM fo_l l CROSS JOIN fo_t),
+fo_d AS (SELECT *, lag(cnt) OVER (ORDER BY stage_order) AS prev, lag(stage) OVER (ORDER BY stage_order) AS prev_stage,
+                lag(stage_label) OVER (ORDER BY stage_order) AS prev_label FROM fo_c),
+fo AS (SELECT *, CAST(coalesce(prev - cnt, 0) AS BIGINT) AS dropoff_count,
+              CASE WHEN prev IS NOT NULL AND prev <> 0 THEN CAST(prev - cnt AS DOUBLE) / prev * 100 ELSE 0.0 END AS dropoff_pct,
+              CAST(cnt AS DOUBLE) / (CASE WHEN top = 0 THEN 1 ELSE top END) * 100 AS conv_first
+       FROM fo_d),
+fo_f AS (SELECT *, (stage_order > 1 AND row_number() OVER (ORDER BY (stage_order > 1) DESC, dropoff_count DESC, stage_order) = 1) AS flag FROM fo)"""
+
+_YS_CTE = f"""ys_m AS (SELECT year, date, sum(APP) AS APP FROM panel GROUP BY year, date),
+ys AS (SELECT year, CAST(sum(APP) AS BIGINT) AS total_applications, avg(APP) AS avg_monthly_applications FROM ys_m GROUP BY year),
+ysg AS (SELECT *, {O.growth('total_applications', 'lag(total_applications) OVER (ORDER BY year)')} AS yoy FROM ys)"""
+
+register(
+    "kpi_overview",
+    O.with_panel(f"""{_YS_CTE},
+{_PROF_CTE},
+m AS (SELECT date, CAST(sum(APP) AS BIGINT) AS y FROM panel GROUP BY date),
+latest AS (SELECT year, yoy FROM ysg ORDER BY year DESC LIMIT 1),
+pk AS (SELECT date, y FROM m ORDER BY y DESC, date ASC LIMIT 1),
+tr AS (SELECT date, y FROM m ORDER BY y ASC, date ASC LIMIT 1)
+SELECT CAST(sum(y) AS BIGINT) AS total_applications, {O.r6('avg(y)')} AS avg_monthly_applications, count(*) AS months,
+       (SELECT year FROM latest) AS latest_year, (SELECT {O.r6('yoy')} FROM latest) AS latest_yoy_growth_pct,
+       (SELECT strftime(date, '%b %Y') FROM pk) AS peak_month, (SELECT y FROM pk) AS peak_value,
+       (SELECT strftime(date, '%b %Y') FROM tr) AS trough_month, (SELECT y FROM tr) AS trough_value,
+       (SELECT count_if(season_label = 'High') FROM prof) AS high_season_months
+FROM m"""),
+)(lambda spark, sf: K.kpi_overview(panel(spark, sf)))
+
+register(
+    "topn_share",
+    O.with_panel(f"""{_EP_CTE}
+SELECT {O.r6('sum(CASE WHEN rank <= 5 THEN mc_share_pct END)')} AS top5_share_pct,
+       {O.r6('sum(CASE WHEN rank <= 10 THEN mc_share_pct END)')} AS top10_share_pct, count(*) AS n_entities,
+       max(CASE WHEN rank = 1 THEN entity END) AS leader, max(CASE WHEN rank = 1 THEN APP END) AS leader_applications,
+       {O.r6('max(CASE WHEN rank = 1 THEN mc_share_pct END)')} AS leader_share_pct
+FROM ep"""),
+)(lambda spark, sf: K.topn_share(panel(spark, sf)))
+
+register(
+    "best_conversion",
+    O.with_panel(f"""{_EP_CTE}
+SELECT entity, APP, RE, {O.r6('app_to_re_pct')} AS app_to_re_pct, rank FROM ep WHERE app_to_re_pct IS NOT NULL
+ORDER BY app_to_re_pct DESC, rank ASC LIMIT 1"""),
+)(lambda spark, sf: K.best_conversion(panel(spark, sf)))
+
+register(
+    "entity_topn",
+    O.with_panel(f"""{_EP_CTE}
+SELECT rank, entity, {STAGE_LIST}, {O.r6('mc_share_pct')} AS mc_share_pct, {O.r6('app_to_re_pct')} AS app_to_re_pct,
+       {O.r6('avg_monthly_applications')} AS avg_monthly_applications, {O.r6('consistency_cv')} AS consistency_cv,
+       {O.r6('growth_pct')} AS growth_pct, growth_period
+FROM ep WHERE rank <= 10"""),
+)(lambda spark, sf: K.entity_topn(panel(spark, sf), 10))
+
+register(
+    "cagr",
+    O.with_panel(f"""{_YS_CTE},
+e AS (SELECT min(year) AS fy, max(year) AS ly, arg_min(total_applications, year) AS ft,
+             arg_max(total_applications, year) AS lt, count(*) AS n FROM ys)
+SELECT fy AS first_year, ly AS last_year, ly - fy AS years, ft AS first_total, lt AS last_total,
+       {O.r6('(pow(CAST(lt AS DOUBLE) / ft, 1.0 / (ly - fy)) - 1) * 100')} AS cagr_pct,
+       {O.r6('(CAST(lt AS DOUBLE) / ft - 1) * 100')} AS total_growth_pct
+FROM e WHERE n >= 3 AND ly > fy AND ft > 0"""),
+)(lambda spark, sf: K.cagr(panel(spark, sf)))
+
+register(
+    "peak_season_run",
+    O.with_panel(f"""{_PROF_CTE},
+d AS (SELECT month, month_name, idx, month - 1 + off AS i FROM prof CROSS JOIN (VALUES (0), (12)) o(off)),
+a AS (SELECT i, i - row_number() OVER (ORDER BY i) AS grp FROM d WHERE idx >= 1.0),
+runs AS (SELECT grp, min(i) AS start, least(count(*), 12) AS run_length FROM a GROUP BY grp),
+best AS (SELECT * FROM runs ORDER BY run_length DESC, start ASC LIMIT 1),
+nm AS (SELECT month - 1 AS pos, month_name FROM prof),
+st AS (SELECT month_name, idx FROM prof ORDER BY idx DESC, month ASC LIMIT 1)
+SELECT s.month_name AS start_month, e.month_name AS end_month, CAST(best.run_length AS BIGINT) AS run_length,
+       st.month_name AS peak_month, {O.r6('st.idx')} AS peak_index
+FROM best JOIN nm s ON s.pos = best.start % 12 JOIN nm e ON e.pos = (best.start + best.run_length - 1) % 12 CROSS JOIN st"""),
+)(lambda spark, sf: K.peak_season_run(panel(spark, sf)))
+
+register(
+    "trough_ratio",
+    O.with_panel(f"""{_PROF_CTE},
+w AS (SELECT * FROM prof ORDER BY idx ASC, month ASC LIMIT 1),
+s AS (SELECT * FROM prof ORDER BY idx DESC, month ASC LIMIT 1)
+SELECT w.month_name AS weakest_month, {O.r6('w.idx')} AS weakest_index, s.month_name AS strongest_month,
+       {O.r6('s.idx')} AS strongest_index, {O.r6('s.mean_applications / greatest(w.mean_applications, 1.0)')} AS peak_trough_ratio
+FROM w CROSS JOIN s"""),
+)(lambda spark, sf: K.trough_ratio(panel(spark, sf)))
+
+register(
+    "funnel_bottleneck",
+    O.with_panel(f"""{_FO_CTE}
+SELECT prev_stage AS from_stage, stage AS to_stage, prev_label AS from_label, stage_label AS to_label,
+       prev AS from_count, dropoff_count, {O.r6('dropoff_pct')} AS dropoff_pct
+FROM fo_f WHERE flag"""),
+)(lambda spark, sf: K.funnel_bottleneck(panel(spark, sf)))
+
+register(
+    "funnel_efficiency",
+    O.with_panel(f"""{_FO_CTE}
+SELECT (SELECT cnt FROM fo WHERE stage_order = 1) AS applications, cnt AS realizations,
+       {O.r6('conv_first')} AS end_to_end_pct, {O.r6('100.0 / NULLIF(conv_first, 0)')} AS applications_per_realization
+FROM fo WHERE stage = 'RE'"""),
+)(lambda spark, sf: K.funnel_efficiency(panel(spark, sf)))
+
+register(
+    "fastest_growing",
+    O.with_panel(f"""{_EP_CTE},
+med AS (SELECT median(APP) AS mv FROM ep)
+SELECT entity, {O.r6('growth_pct')} AS growth_pct, growth_period, {O.r6('mc_share_pct')} AS mc_share_pct,
+       {O.r6('app_to_re_pct')} AS app_to_re_pct, APP
+FROM ep CROSS JOIN med WHERE APP >= mv AND growth_pct IS NOT NULL ORDER BY growth_pct DESC, rank ASC LIMIT 1"""),
+)(lambda spark, sf: K.fastest_growing(panel(spark, sf)))
+
+register(
+    "programme_leaders",
+    O.with_panel(f"""{_PP_CTE},
+dom AS (SELECT * FROM pp WHERE vol_rank = 1),
+eff AS (SELECT * FROM pp WHERE app_to_re_pct IS NOT NULL ORDER BY app_to_re_pct DESC, vol_rank ASC LIMIT 1)
+SELECT dom.programme AS dominant_programme, {O.r6('dom.mc_share_pct')} AS dominant_share_pct,
+       dom.peak_month AS dominant_peak_month, {O.r6('dom.app_to_re_pct')} AS dominant_app_to_re_pct,
+       eff.programme AS efficient_programme, {O.r6('eff.app_to_re_pct')} AS efficient_app_to_re_pct
+FROM dom CROSS JOIN eff"""),
+)(lambda spark, sf: K.programme_leaders(panel(spark, sf)))
+
+register(
+    "latest_growth",
+    O.with_panel(f"""{_YS_CTE},
+r AS (SELECT *, row_number() OVER (ORDER BY year DESC) AS rk FROM ysg)
+SELECT a.year AS latest_year, b.year AS previous_year, a.total_applications AS latest_total,
+       b.total_applications AS previous_total, {O.r6('a.yoy')} AS growth_pct,
+       {O.r6('a.avg_monthly_applications')} AS latest_avg_monthly
+FROM r a JOIN r b ON a.rk = 1 AND b.rk = 2"""),
+)(lambda spark, sf: K.latest_growth(panel(spark, sf)))
