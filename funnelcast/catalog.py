@@ -542,3 +542,181 @@ SELECT a.year AS latest_year, b.year AS previous_year, a.total_applications AS l
        {O.r6('a.avg_monthly_applications')} AS latest_avg_monthly
 FROM r a JOIN r b ON a.rk = 1 AND b.rk = 2"""),
 )(lambda spark, sf: K.latest_growth(panel(spark, sf)))
+
+# ============================================================================ F1 - F16, A26
+from funnelcast.operators import features as FE  # noqa: E402
+
+FLEET = ("entity",)
+SHARE_PRODUCT = "BUILDING"  # the test panel's products are market segments
+
+
+def _p(keys) -> str:
+    return ", ".join(keys)
+
+
+def _part(keys) -> str:
+    return f"PARTITION BY {_p(keys)} " if keys else ""
+
+
+def _series_sql(keys) -> str:
+    """CTE ``ds``: dense (keys, date, y, rn) series with linear interpolation."""
+    k = _p(keys)
+    kc = (k + ", ") if keys else ""
+    part = _part(keys)
+    w = f"OVER ({part}ORDER BY date"
+    return f"""s0 AS (SELECT {kc}date, CAST(sum(APP) AS DOUBLE) AS y FROM panel GROUP BY {kc}date),
+b0 AS (SELECT {kc}min(date) AS s, max(date) AS e FROM s0 {'GROUP BY ' + k if keys else ''}),
+g0 AS (SELECT {kc}CAST(unnest(generate_series(s, e, INTERVAL 1 MONTH)) AS DATE) AS date FROM b0),
+j0 AS (SELECT g0.*, s0.y, row_number() {w.replace('date', 'g0.date') if not keys else 'OVER (PARTITION BY ' + ', '.join('g0.' + x for x in keys) + ' ORDER BY g0.date'}) AS rn
+       FROM g0 LEFT JOIN s0 ON {' AND '.join([f'g0.{x} = s0.{x}' for x in keys] + ['g0.date = s0.date'])}),
+k0 AS (SELECT *, CASE WHEN y IS NOT NULL THEN rn END AS krn FROM j0),
+f0 AS (SELECT *, last_value(y IGNORE NULLS) {w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pv,
+              last_value(krn IGNORE NULLS) {w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pi,
+              first_value(y IGNORE NULLS) {w} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nv,
+              first_value(krn IGNORE NULLS) {w} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ni FROM k0),
+ds AS (SELECT {kc}date, coalesce(y, pv + (nv - pv) * (rn - pi) / NULLIF(ni - pi, 0), nv, pv) AS y,
+              y IS NULL AS interpolated, rn FROM f0)"""
+
+
+_TIME_SQL = {
+    "year": "CAST(year(date) AS DOUBLE)",
+    "month": "CAST(month(date) AS DOUBLE)",
+    "quarter": "CAST(quarter(date) AS DOUBLE)",
+    "season_code": "CAST(CASE WHEN month(date) IN (12, 1, 2) THEN 0 WHEN month(date) IN (3, 4) THEN 1 "
+                   "WHEN month(date) IN (5, 6) THEN 2 WHEN month(date) IN (7, 8, 9) THEN 3 ELSE 4 END AS DOUBLE)",
+    "month_index": "CAST((year(date) - year(origin)) * 12 + month(date) - month(origin) AS DOUBLE)",
+    "month_sin": "sin(2 * pi() * month(date) / 12.0)",
+    "month_cos": "cos(2 * pi() * month(date) / 12.0)",
+    "month_sin2": "sin(4 * pi() * month(date) / 12.0)",
+    "month_cos2": "cos(4 * pi() * month(date) / 12.0)",
+    "is_break_season": "CASE WHEN month(date) IN (5, 6, 12, 1) THEN 1.0 ELSE 0.0 END",
+    "is_exam_season": "CASE WHEN month(date) IN (3, 4, 11) THEN 1.0 ELSE 0.0 END",
+    "is_semester_start": "CASE WHEN month(date) IN (1, 7, 8) THEN 1.0 ELSE 0.0 END",
+    "is_year_end": "CASE WHEN month(date) = 12 THEN 1.0 ELSE 0.0 END",
+    "days_in_month": "CAST(day(last_day(date)) AS DOUBLE)",
+}
+
+
+def _features_sql(keys) -> str:
+    """CTE chain ending in ``hf``: ds + time features + history features."""
+    kc = (_p(keys) + ", ") if keys else ""
+    part = _part(keys)
+    w = f"OVER ({part}ORDER BY date"
+    fr = lambda a, b: f"{w} ROWS BETWEEN {a} PRECEDING AND {b} PRECEDING)"
+    h = {f"lag_{k}": f"lag(y, {k}) {w})" for k in (1, 2, 3, 6, 12)}
+    for k in (3, 6, 12):
+        h[f"roll_mean_{k}"] = f"avg(y) {fr(k, 1)}"
+        h[f"roll_std_{k}"] = f"CASE WHEN count(y) {fr(k, 1)} > 1 THEN stddev_samp(y) {fr(k, 1)} ELSE 0.0 END"
+    h["roll_max_12"] = f"max(y) {fr(12, 1)}"
+    h["roll_min_12"] = f"min(y) {fr(12, 1)}"
+    h["lag_13"] = f"lag(y, 13) {w})"
+    h["trend_slope_6"] = f"CASE WHEN count(y) {fr(6, 1)} >= 3 THEN regr_slope(y, CAST(rn AS DOUBLE)) {fr(6, 1)} ELSE 0.0 END"
+    h["same_month_mean"] = (f"avg(y) OVER (PARTITION BY {kc}month(date) ORDER BY date "
+                            "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+    tcols = ",\n              ".join(f"{e} AS {n}" for n, e in _TIME_SQL.items())
+    hcols = ",\n              ".join(f"{e} AS {n}" for n, e in h.items())
+    return f"""{_series_sql(keys)},
+tf AS (SELECT *, min(date) OVER ({part}) AS origin FROM ds),
+h0 AS (SELECT {kc}date, y, rn, interpolated,
+              {tcols},
+              {hcols}
+       FROM tf),
+hf AS (SELECT *,
+              coalesce((lag_1 - lag_2) / NULLIF(lag_2, 0) * 100, 0.0) AS mom_growth,
+              coalesce((lag_1 - lag_13) / NULLIF(lag_13, 0) * 100, 0.0) AS yoy_growth,
+              coalesce(lag_1 / NULLIF(lag_12, 0), 1.0) AS lag1_over_lag12,
+              coalesce(lag_1 / NULLIF(roll_mean_12, 0), 1.0) AS lag1_over_roll12
+       FROM h0)"""
+
+
+def _ops_sql(keys, share_product: str = SHARE_PRODUCT) -> str:
+    """CTE ``ops``: lagged operational features per (keys, date)."""
+    kc = (_p(keys) + ", ") if keys else ""
+    ek = ", ".join(dict.fromkeys([*keys, "entity"]))
+    part = _part(keys)
+    pd_part = f"PARTITION BY {kc}date"
+    return f"""ob AS (SELECT {kc}date, sum(APP) AS t, sum(RE) AS re, sum(ACH) AS ach,
+              sum(CASE WHEN direction = 'outgoing' THEN APP ELSE 0 END) AS dir,
+              sum(CASE WHEN product = '{share_product}' THEN APP ELSE 0 END) AS prod
+       FROM panel GROUP BY {kc}date),
+oe AS (SELECT {ek}, date, sum(APP) AS x FROM panel GROUP BY {ek}, date),
+oe2 AS (SELECT *, CAST(x AS DOUBLE) / NULLIF(sum(x) OVER ({pd_part}), 0) AS sh FROM oe),
+oc AS (SELECT {kc}date, coalesce(sum(pow(sh, 2)), 0.0) AS op_entity_hhi,
+              CAST(NULLIF(count(DISTINCT CASE WHEN x > 0 THEN entity END), 0) AS DOUBLE) AS op_active_entities
+       FROM oe2 GROUP BY {kc}date),
+ocur AS (SELECT ob.*, {O.pct('re', 't')} AS op_app_to_re_pct, {O.pct('ach', 't')} AS op_app_to_ach_pct,
+                CAST(re AS DOUBLE) AS op_realizations, {O.pct('dir', 't')} AS op_outgoing_share,
+                {O.pct('prod', 't')} AS op_gv_share, oc.op_entity_hhi, oc.op_active_entities
+         FROM ob JOIN oc ON {' AND '.join([f'ob.{x} = oc.{x}' for x in keys] + ['ob.date = oc.date'])}),
+ops AS (SELECT {kc}date, {", ".join(f"lag({c}, 1) OVER ({part}ORDER BY date) AS {c}" for c in FE.OPERATIONAL_FEATURES)}
+        FROM ocur)"""
+
+
+def _sel(cols, src="") -> str:
+    return ", ".join(f"{O.r6(src + c)} AS {c}" for c in cols)
+
+
+_LAG_COLS = ("lag_1", "lag_2", "lag_3", "lag_6", "lag_12")
+_ROLL_COLS = ("roll_mean_3", "roll_std_3", "roll_mean_6", "roll_std_6", "roll_mean_12", "roll_std_12", "roll_max_12", "roll_min_12")
+_GROWTH_COLS = ("mom_growth", "yoy_growth", "lag1_over_lag12", "lag1_over_roll12")
+_KC = _p(FLEET) + ", "
+
+
+def _fleet_series(spark, sf, keys=FLEET):
+    return FE.densify_monthly(FE.target_series(panel(spark, sf), series_keys=keys), keys)
+
+
+def _hist(spark, sf):
+    s = _fleet_series(spark, sf).drop("interpolated")
+    return FE.history_features(s, FLEET)
+
+
+register(
+    "densify_monthly",
+    O.with_panel(f"""{_series_sql(('entity', 'programme'))}
+SELECT entity, programme, date, {O.r6('y')} AS y, interpolated FROM ds"""),
+)(lambda spark, sf: _fleet_series(spark, sf, ("entity", "programme")))
+
+register(
+    "time_features",
+    O.with_panel(f"""{_features_sql(FLEET)}
+SELECT {_KC}date, {O.r6('y')} AS y, {_sel(FE.TIME_FEATURES)} FROM hf"""),
+)(lambda spark, sf: FE.time_features(_fleet_series(spark, sf).drop("interpolated"), FLEET))
+
+for _name, _cols in (("lag_features", _LAG_COLS), ("rolling_features", _ROLL_COLS), ("growth_features", _GROWTH_COLS),
+                     ("trend_slope", ("trend_slope_6",)), ("same_month_mean", ("same_month_mean",))):
+    register(
+        _name,
+        O.with_panel(f"""{_features_sql(FLEET)}
+SELECT {_KC}date, {O.r6('y')} AS y, {_sel(_cols)} FROM hf"""),
+    )(lambda spark, sf, _c=_cols: _hist(spark, sf).select(*FLEET, "date", "y", *_c))
+
+register(
+    "operational_features",
+    O.with_panel(f"""{_ops_sql(FLEET)}
+SELECT {_KC}date, {_sel(FE.OPERATIONAL_FEATURES)} FROM ops"""),
+)(lambda spark, sf: FE.operational_features(panel(spark, sf), series_keys=FLEET, share_product=SHARE_PRODUCT))
+
+register(
+    "entity_hhi",
+    O.with_panel(f"""{_ops_sql(())}
+SELECT date, {_sel(('op_entity_hhi', 'op_active_entities'))} FROM ops"""),
+)(lambda spark, sf: FE.operational_features(panel(spark, sf), share_product=SHARE_PRODUCT).select(
+    "date", "op_entity_hhi", "op_active_entities"))
+
+
+def _matrix_sql(keys) -> str:
+    kc = (_p(keys) + ", ") if keys else ""
+    on = " AND ".join([f"hf.{x} = ops.{x}" for x in keys] + ["hf.date = ops.date"])
+    return f"""{_features_sql(keys)},
+{_ops_sql(keys)},
+mx AS (SELECT hf.*, {", ".join('ops.' + c for c in FE.OPERATIONAL_FEATURES)} FROM hf LEFT JOIN ops ON {on})
+SELECT {", ".join('mx.' + x for x in keys) + ', ' if keys else ''}mx.date, {O.r6('mx.y')} AS y,
+       {_sel(FE.FEATURE_COLUMNS, 'mx.')}
+FROM mx WHERE rn > 12"""
+
+
+register("training_matrix", O.with_panel(_matrix_sql(FLEET)))(
+    lambda spark, sf: FE.training_matrix(panel(spark, sf), series_keys=FLEET, share_product=SHARE_PRODUCT))
+register("training_matrix_total", O.with_panel(_matrix_sql(())))(
+    lambda spark, sf: FE.training_matrix(panel(spark, sf), share_product=SHARE_PRODUCT))
