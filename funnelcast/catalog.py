@@ -705,12 +705,16 @@ SELECT date, {_sel(('op_entity_hhi', 'op_active_entities'))} FROM ops"""),
     "date", "op_entity_hhi", "op_active_entities"))
 
 
-def _matrix_sql(keys) -> str:
-    kc = (_p(keys) + ", ") if keys else ""
+def _matrix_cte(keys) -> str:
+    """CTE chain ending in ``mx`` (features joined with lagged operational context, all rows)."""
     on = " AND ".join([f"hf.{x} = ops.{x}" for x in keys] + ["hf.date = ops.date"])
     return f"""{_features_sql(keys)},
 {_ops_sql(keys)},
-mx AS (SELECT hf.*, {", ".join('ops.' + c for c in FE.OPERATIONAL_FEATURES)} FROM hf LEFT JOIN ops ON {on})
+mx AS (SELECT hf.*, {", ".join('ops.' + c for c in FE.OPERATIONAL_FEATURES)} FROM hf LEFT JOIN ops ON {on})"""
+
+
+def _matrix_sql(keys) -> str:
+    return f"""{_matrix_cte(keys)}
 SELECT {", ".join('mx.' + x for x in keys) + ', ' if keys else ''}mx.date, {O.r6('mx.y')} AS y,
        {_sel(FE.FEATURE_COLUMNS, 'mx.')}
 FROM mx WHERE rn > 12"""
@@ -720,3 +724,281 @@ register("training_matrix", O.with_panel(_matrix_sql(FLEET)))(
     lambda spark, sf: FE.training_matrix(panel(spark, sf), series_keys=FLEET, share_product=SHARE_PRODUCT))
 register("training_matrix_total", O.with_panel(_matrix_sql(())))(
     lambda spark, sf: FE.training_matrix(panel(spark, sf), share_product=SHARE_PRODUCT))
+
+# ============================================================================ M1 - M26, A26, A27
+from funnelcast.functions import vocab as VOC  # noqa: E402
+from funnelcast.operators import evaluation as EV  # noqa: E402
+from funnelcast.operators import forecast as FC  # noqa: E402
+from funnelcast.operators.holtwinters import holt_winters_forecasts  # noqa: E402
+from funnelcast.plans import training as TR  # noqa: E402
+
+FORECAST_YEAR = 2002  # the test data ends in 2001-08, so 2002 also exercises the lead-month rule
+_BASE = FC.BASELINE_MODELS
+_FAMILY_CASE = "CASE model " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in VOC.MODEL_FAMILY.items()) + " ELSE 'other' END"
+_EXPL_CASE = "CASE model " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in VOC.EXPLAINABILITY_RANK.items()) + " ELSE 3 END"
+
+
+def _on(keys, a, b, extra=()) -> str:
+    return " AND ".join([f"{a}.{k} = {b}.{k}" for k in keys] + list(extra)) or "TRUE"
+
+
+def _fc_ctes(keys, origin_where: str, horizon_sql: str, tag: str = "") -> str:
+    """Baseline forecasts (CTE ``pred{tag}``) from history ``h`` for origins matching ``origin_where``."""
+    kc = (_p(keys) + ", ") if keys else ""
+    part = _part(keys)
+    w = f"OVER ({part}ORDER BY rn ROWS BETWEEN"
+    models = ", ".join(f"('{m}')" for m in _BASE)
+    return f"""org{tag} AS (SELECT * FROM st WHERE {origin_where}),
+fan{tag} AS (SELECT o.*, CAST(g.step AS INTEGER) AS step FROM org{tag} o
+             CROSS JOIN LATERAL (SELECT unnest(generate_series(1, {horizon_sql})) AS step) g),
+fs{tag} AS (SELECT f.*, CASE WHEN f.rn >= 12 THEN f.rn - 12 + 1 + ((f.step - 1) % 12) END AS season_rn FROM fan{tag} f),
+fy{tag} AS (SELECT f.*, hh.y AS season_y FROM fs{tag} f LEFT JOIN h hh ON {_on(keys, 'hh', 'f', ['hh.rn = f.season_rn'])}),
+pred{tag} AS (SELECT {", ".join('f.' + k for k in keys) + ', ' if keys else ''}f.rn AS origin, f.date AS origin_date, f.step, m.model,
+                greatest(CASE m.model WHEN 'naive_last' THEN f.y WHEN 'moving_average_3' THEN f.ma3
+                     WHEN 'moving_average_6' THEN f.ma6 WHEN 'seasonal_naive' THEN coalesce(f.season_y, f.y)
+                     ELSE coalesce(f.season_y, f.y) * f.growth END, 0.0) AS y_pred
+         FROM fy{tag} f CROSS JOIN (VALUES {models}) m(model))"""
+
+
+def _hist_state_sql(keys) -> str:
+    kc = (_p(keys) + ", ") if keys else ""
+    part = _part(keys)
+    w = f"OVER ({part}ORDER BY rn ROWS BETWEEN"
+    return f"""{_series_sql(keys)},
+h AS (SELECT {kc}date, y, CAST(rn AS INTEGER) AS rn, count(*) OVER ({part}) AS n FROM ds),
+st0 AS (SELECT *, avg(y) {w} 2 PRECEDING AND CURRENT ROW) AS ma3, avg(y) {w} 5 PRECEDING AND CURRENT ROW) AS ma6,
+               sum(y) {w} 11 PRECEDING AND CURRENT ROW) AS s12, sum(y) {w} 23 PRECEDING AND 12 PRECEDING) AS p12 FROM h),
+st AS (SELECT *, CASE WHEN rn >= 24 AND p12 > 0 THEN 1.0 + (s12 / p12 - 1.0) * {VOC.DRIFT_DAMPING} ELSE 1.0 END AS growth FROM st0)"""
+
+
+def _bt_sql(keys) -> str:
+    """CTE chain ending in ``bt`` (baseline backtest, 1 step, initial 24)."""
+    kc = ", ".join('p.' + k for k in keys) + ", " if keys else ""
+    return f"""{_hist_state_sql(keys)},
+{_fc_ctes(keys, "rn >= 24 AND rn <= n - 1", "1")},
+bt AS (SELECT p.model, {kc}p.origin, p.origin_date, a.date, p.step, a.y AS y_true, p.y_pred
+       FROM pred p JOIN h a ON {_on(keys, 'a', 'p', ['a.rn = p.origin + p.step'])})"""
+
+
+def _metrics_sql(keys) -> str:
+    kc = (_p(keys) + ", ") if keys else ""
+    return f"""met AS (SELECT model, {kc}avg(abs(e)) AS MAE, sqrt(avg(e * e)) AS RMSE,
+              avg(CASE WHEN y_true <> 0 THEN abs(e) / abs(y_true) END) * 100 AS MAPE,
+              avg(CASE WHEN den <> 0 THEN abs(e) / den END) * 100 AS sMAPE, stddev_pop(abs(e)) AS error_std,
+              max(abs(e)) AS max_abs_error, avg(e) AS bias, count(*) AS n, count(DISTINCT origin) AS origins_evaluated,
+              {_FAMILY_CASE} AS family, CAST({_EXPL_CASE} AS INTEGER) AS explainability
+       FROM (SELECT *, y_true - y_pred AS e, (abs(y_true) + abs(y_pred)) / 2.0 AS den FROM bt) GROUP BY model, {kc.rstrip(', ') or 'model'})"""
+
+
+_MET_COLS = ("MAE", "RMSE", "MAPE", "sMAPE", "error_std", "max_abs_error", "bias")
+
+
+def _sel_sql(keys) -> str:
+    part = _part(keys)
+    kc = (_p(keys) + ", ") if keys else ""
+    tpart = f"PARTITION BY {kc}within_tolerance"
+    mm = lambda c: (f"CASE WHEN max({c}) OVER ({tpart}) - min({c}) OVER ({tpart}) > 0 THEN ({c} - min({c}) OVER ({tpart})) "
+                    f"/ (max({c}) OVER ({tpart}) - min({c}) OVER ({tpart})) ELSE 0.0 END")
+    return f"""sl0 AS (SELECT *, CAST({_EXPL_CASE} AS DOUBLE) AS explainability_rank, min(MAE) OVER ({part}) AS best,
+              min(MAE) OVER ({part}) * (1 + {VOC.TOLERANCE_PCT} / 100.0) AS thr FROM met),
+sl1 AS (SELECT *, MAE <= thr AS within_tolerance FROM sl0),
+sl2 AS (SELECT *, CASE WHEN within_tolerance THEN (CASE WHEN thr - best > 0 THEN least(greatest((MAE - best) / (thr - best), 0.0), 1.0) ELSE 0.0 END) END AS accuracy_norm,
+              CASE WHEN within_tolerance THEN {mm('error_std')} END AS stability_norm,
+              CASE WHEN within_tolerance THEN {mm('explainability_rank')} END AS explainability_norm FROM sl1),
+sl3 AS (SELECT *, accuracy_norm * 0.5 + stability_norm * 0.3 + explainability_norm * 0.2 AS composite_score FROM sl2),
+sel AS (SELECT * EXCLUDE (best, thr), row_number() OVER ({part}ORDER BY composite_score ASC NULLS LAST, MAE ASC, model ASC) = 1 AS selected FROM sl3)"""
+
+
+def _quant_sql(keys) -> str:
+    kc = (_p(keys) + ", ") if keys else ""
+    return f"""rq AS (SELECT model, {kc}quantile_cont(y_true - y_pred, 0.025) AS lower_q, quantile_cont(y_true - y_pred, 0.975) AS upper_q,
+              count(*) AS n_residuals FROM bt GROUP BY model{', ' + _p(keys) if keys else ''})"""
+
+
+def _r6cols(cols, src="") -> str:
+    return ", ".join(f"{O.r6(src + c)} AS {c}" for c in cols)
+
+
+def _fleet_history(spark, sf, keys=FLEET):
+    return FC.history_series(panel(spark, sf), series_keys=keys)
+
+
+def _fleet_backtest(spark, sf, keys=FLEET):
+    return FC.backtest_baselines(_fleet_history(spark, sf, keys), keys)
+
+
+register(
+    "backtest_predictions",
+    O.with_panel(f"""{_bt_sql(FLEET)}
+SELECT model, entity, origin, origin_date, date, step, {O.r6('y_true')} AS y_true, {O.r6('y_pred')} AS y_pred FROM bt"""),
+)(lambda spark, sf: _fleet_backtest(spark, sf))
+
+register(
+    "backtest_metrics",
+    O.with_panel(f"""{_bt_sql(FLEET)},
+{_metrics_sql(FLEET)}
+SELECT model, entity, {_r6cols(_MET_COLS)}, n, origins_evaluated, family, explainability FROM met"""),
+)(lambda spark, sf: EV.backtest_metrics(_fleet_backtest(spark, sf), FLEET))
+
+register(
+    "model_comparison",
+    O.with_panel(f"""{_bt_sql(())},
+{_metrics_sql(())}
+SELECT model, {_r6cols(_MET_COLS)}, n, origins_evaluated, family, explainability FROM met"""),
+)(lambda spark, sf: EV.model_comparison(EV.backtest_metrics(FC.backtest_baselines(_fleet_history(spark, sf, ())))))
+
+register(
+    "residual_quantiles",
+    O.with_panel(f"""{_bt_sql(FLEET)},
+{_quant_sql(FLEET)}
+SELECT model, entity, {_r6cols(('lower_q', 'upper_q'))}, n_residuals FROM rq"""),
+)(lambda spark, sf: EV.residual_quantiles(_fleet_backtest(spark, sf), FLEET))
+
+_SEL_OUT = (f"model, entity, {_r6cols(_MET_COLS)}, n, origins_evaluated, family, explainability, "
+            f"{_r6cols(('explainability_rank',))}, within_tolerance, "
+            f"{_r6cols(('accuracy_norm', 'stability_norm', 'explainability_norm', 'composite_score'))}, selected")
+register(
+    "model_selection",
+    O.with_panel(f"""{_bt_sql(FLEET)},
+{_metrics_sql(FLEET)},
+{_sel_sql(FLEET)}
+SELECT {_SEL_OUT} FROM sel"""),
+)(lambda spark, sf: EV.model_selection(EV.backtest_metrics(_fleet_backtest(spark, sf), FLEET), FLEET))
+
+register(
+    "best_per_family",
+    None,
+)(lambda spark, sf: EV.best_per_family(EV.backtest_metrics(TR.backtest(_fleet_history(spark, sf, ())))))
+
+for _m, _key in (("naive_last", "fc_naive_last"), ("moving_average_3", "fc_moving_average_3"),
+                 ("moving_average_6", "fc_moving_average_6"), ("seasonal_naive", "fc_seasonal_naive"),
+                 ("seasonal_naive_drift", "fc_seasonal_drift")):
+    register(
+        _key,
+        O.with_panel(f"""{_hist_state_sql(FLEET)},
+{_fc_ctes(FLEET, "rn = n", "12")}
+SELECT entity, origin, origin_date, step, model, {O.r6('y_pred')} AS y_pred,
+       CAST(origin_date + to_months(step) AS DATE) AS date
+FROM pred WHERE model = '{_m}'"""),
+    )(lambda spark, sf, _mm=_m: FC.future_dates(FC.baseline_forecasts(
+        h := _fleet_history(spark, sf), FC.final_origins(h), FLEET, 12, models=(_mm,))))
+
+register("fc_holt_winters", None)(
+    lambda spark, sf: FC.future_dates(holt_winters_forecasts(h := _fleet_history(spark, sf), FC.final_origins(h), FLEET, 12)))
+register("backtest_holt_winters", None)(
+    lambda spark, sf: FC.attach_actuals(holt_winters_forecasts(h := _fleet_history(spark, sf, ()), FC.origins(h), (), 1), h))
+
+
+def _year_sql(models_filter: str = "") -> str:
+    """Total series: backtest -> select -> future of the chosen model -> intervals -> thresholds -> labels (CTE ``lab``)."""
+    lead = f"greatest(({FORECAST_YEAR} - year(origin_date)) * 12 + (1 - month(origin_date)) - 1, 0) + 12"
+    return f"""{_bt_sql(())},
+{_metrics_sql(())},
+{_sel_sql(())},
+{_quant_sql(())},
+{_fc_ctes((), "rn = n", lead.replace('origin_date', 'date'), '_f')},
+fut AS (SELECT p.*, CAST(p.origin_date + to_months(p.step) AS DATE) AS date FROM pred_f p
+        WHERE p.model IN (SELECT model FROM sel WHERE selected)),
+band AS (SELECT f.*, greatest(f.y_pred, 0.0) AS forecast,
+                greatest(CASE WHEN coalesce(q.n_residuals, 0) >= 5 THEN f.y_pred + q.lower_q * sqrt(f.step) ELSE f.y_pred * 0.8 END, 0.0) AS lower,
+                greatest(CASE WHEN coalesce(q.n_residuals, 0) >= 5 THEN f.y_pred + q.upper_q * sqrt(f.step) ELSE f.y_pred * 1.2 END, 0.0) AS upper
+         FROM fut f LEFT JOIN rq q ON q.model = f.model),
+iny AS (SELECT * FROM band WHERE year(date) = {FORECAST_YEAR}),
+hr AS (SELECT date, y,
+              y / NULLIF(CASE WHEN count(y) OVER (ORDER BY date ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING) = 12
+                              THEN avg(y) OVER (ORDER BY date ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING) END, 0) AS ratio,
+              CASE WHEN avg(y) OVER (ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) > 0
+                   THEN y / avg(y) OVER (ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) ELSE 1.0 END AS trail,
+              row_number() OVER (ORDER BY date DESC) <= 12 AS recent
+       FROM h),
+th0 AS (SELECT count(ratio) AS n_ratios, quantile_cont(ratio, 0.25) AS r_lo, quantile_cont(ratio, 0.75) AS r_hi,
+               quantile_cont(trail, 0.25) AS t_lo, quantile_cont(trail, 0.75) AS t_hi,
+               avg(CASE WHEN recent THEN y END) AS recent_mean,
+               quantile_cont(y, 0.25) AS hist_low, quantile_cont(y, 0.75) AS hist_high FROM hr),
+fc0 AS (SELECT avg(forecast) AS fc_mean, quantile_cont(forecast, 0.25) AS fc_low, quantile_cont(forecast, 0.75) AS fc_high FROM iny),
+th AS (SELECT CASE WHEN n_ratios >= 8 THEN r_lo ELSE t_lo END AS ta_low, CASE WHEN n_ratios >= 8 THEN r_hi ELSE t_hi END AS ta_high,
+              CASE WHEN n_ratios >= 8 THEN fc_mean ELSE recent_mean END AS ta_level, n_ratios, hist_low, hist_high, fc_low, fc_high
+       FROM th0 CROSS JOIN fc0),
+lab AS (SELECT i.*, th.*,
+               CASE WHEN (CASE WHEN ta_level > 0 THEN forecast / ta_level ELSE forecast END) >= ta_high THEN 'High'
+                    WHEN (CASE WHEN ta_level > 0 THEN forecast / ta_level ELSE forecast END) <= ta_low THEN 'Low' ELSE 'Medium' END AS activity_level,
+               CASE WHEN forecast >= hist_high THEN 'High' WHEN forecast <= hist_low THEN 'Low' ELSE 'Medium' END AS activity_level_vs_history,
+               CASE WHEN forecast >= fc_high THEN 'High' WHEN forecast <= fc_low THEN 'Low' ELSE 'Medium' END AS activity_level_within_year
+        FROM iny i CROSS JOIN th),
+tab AS (SELECT strftime(date, '%b %Y') AS "Month", CAST(round_even(forecast, 0) AS BIGINT) AS "Predicted Applications",
+               activity_level AS "Activity Level", strftime(date, '%Y-%m-%d') AS date, CAST(month(date) AS INTEGER) AS month_number,
+               CAST(round_even(lower, 0) AS BIGINT) AS lower_95, CAST(round_even(upper, 0) AS BIGINT) AS upper_95,
+               activity_level_vs_history, activity_level_within_year AS activity_level_within_{FORECAST_YEAR}, model
+        FROM lab),
+tab2 AS (SELECT *, CAST(rank() OVER (ORDER BY "Predicted Applications" DESC) AS INTEGER) AS rank_in_year,
+                CAST("Predicted Applications" AS DOUBLE) / NULLIF(sum("Predicted Applications") OVER (), 0) * 100 AS share_of_year_pct
+         FROM tab)"""
+
+
+def _year_run(spark, sf, models=_BASE):
+    return TR.forecast_year(panel(spark, sf), FORECAST_YEAR, models=models)
+
+
+register(
+    "forecast_intervals",
+    O.with_panel(f"""{_year_sql()}
+SELECT origin, origin_date, step, model, {_r6cols(('y_pred',))}, date, {_r6cols(('forecast', 'lower', 'upper'))} FROM band"""),
+)(lambda spark, sf: _year_run(spark, sf)["forecast"])
+
+for _key, _col in (("activity_trend_adjusted", "activity_level"), ("activity_vs_history", "activity_level_vs_history"),
+                   ("activity_within_year", "activity_level_within_year")):
+    register(
+        _key,
+        O.with_panel(f"""{_year_sql()}
+SELECT date, {O.r6('forecast')} AS forecast, {_col} AS label,
+       {_r6cols(('ta_low', 'ta_high', 'hist_low', 'hist_high', 'fc_low', 'fc_high'))} FROM lab"""),
+    )(lambda spark, sf, _c=_col: _year_run(spark, sf)["labelled"].select(
+        "date", "forecast", F.col(_c).alias("label"), "ta_low", "ta_high", "hist_low", "hist_high", "fc_low", "fc_high"))
+
+register(
+    "prediction_table_baselines",
+    O.with_panel(f"""{_year_sql()}
+SELECT * EXCLUDE (share_of_year_pct), {O.r6('share_of_year_pct')} AS share_of_year_pct FROM tab2"""),
+)(lambda spark, sf: _year_run(spark, sf)["table"])
+
+register("prediction_table", None)(lambda spark, sf: _year_run(spark, sf, TR.CANDIDATES)["table"])
+register("fleet_prediction_table", None)(
+    lambda spark, sf: TR.forecast_year(panel(spark, sf), FORECAST_YEAR, series_keys=FLEET)["table"])
+
+register(
+    "prediction_summary",
+    O.with_panel(f"""{_year_sql()},
+th1 AS (SELECT ta_low, ta_high FROM th)
+SELECT CAST(sum("Predicted Applications") AS BIGINT) AS total_predicted_applications,
+       arg_min("Month", rank_in_year * 100 + month_number) AS peak_month, max("Predicted Applications") AS peak_value,
+       arg_min("Month", "Predicted Applications" * 100 + month_number) AS trough_month,
+       coalesce(string_agg(CASE WHEN "Activity Level" = 'High' THEN "Month" END, ', ' ORDER BY month_number), '') AS high_activity_months,
+       first(model) AS model, {O.r6('max(th1.ta_low)')} AS low_threshold, {O.r6('max(th1.ta_high)')} AS high_threshold,
+       {FORECAST_YEAR} AS forecast_year, 'trend_adjusted' AS method
+FROM tab2 CROSS JOIN th1"""),
+)(lambda spark, sf: _year_run(spark, sf)["summary"])
+
+register(
+    "label_distribution",
+    O.with_panel(f"""{_year_sql()}
+SELECT method, label, count(*) AS months FROM (
+  SELECT 'trend_adjusted' AS method, activity_level AS label FROM lab
+  UNION ALL SELECT 'historical_quartiles', activity_level_vs_history FROM lab
+  UNION ALL SELECT 'forecast_quartiles', activity_level_within_year FROM lab) GROUP BY method, label"""),
+)(lambda spark, sf: EV.label_distribution(_year_run(spark, sf)["labelled"]))
+
+register(
+    "history_forecast_union",
+    O.with_panel(f"""{_year_sql()}
+SELECT date, {O.r6('y')} AS value, 'actual' AS kind, CAST(NULL AS DOUBLE) AS lower, CAST(NULL AS DOUBLE) AS upper FROM h
+UNION ALL SELECT date, {O.r6('y')}, 'forecast', {O.r6('y')}, {O.r6('y')} FROM h WHERE rn = n
+UNION ALL SELECT date, {O.r6('forecast')}, 'forecast', {O.r6('lower')}, {O.r6('upper')} FROM band"""),
+)(lambda spark, sf: (lambda r: EV.history_forecast_union(r["history"], r["forecast"]))(_year_run(spark, sf)))
+
+register(
+    "feature_correlation",
+    O.with_panel(f"""{_matrix_cte(())},
+mm AS (SELECT * FROM mx WHERE rn > 12),
+cc AS ({" UNION ALL ".join(f"SELECT '{f}' AS feature, corr({f}, y) AS correlation FROM mm" for f in FE.FEATURE_COLUMNS)})
+SELECT feature, {O.r6('correlation')} AS correlation, {O.r6('abs(correlation)')} AS abs_correlation FROM cc"""),
+)(lambda spark, sf: FE.feature_correlation(FE.training_matrix(panel(spark, sf), share_product=SHARE_PRODUCT)))
