@@ -1002,3 +1002,150 @@ mm AS (SELECT * FROM mx WHERE rn > 12),
 cc AS ({" UNION ALL ".join(f"SELECT '{f}' AS feature, corr({f}, y) AS correlation FROM mm" for f in FE.FEATURE_COLUMNS)})
 SELECT feature, {O.r6('correlation')} AS correlation, {O.r6('abs(correlation)')} AS abs_correlation FROM cc"""),
 )(lambda spark, sf: FE.feature_correlation(FE.training_matrix(panel(spark, sf), share_product=SHARE_PRODUCT)))
+
+# ============================================================================ P1 - P17, S1 - S3, S13
+import uuid  # noqa: E402
+
+from funnelcast.operators import parsing as PA  # noqa: E402
+from funnelcast.sources import envelope as EN  # noqa: E402
+from funnelcast.sources import payloads as PL  # noqa: E402
+from funnelcast.session import ensure_checkpoint_dir  # noqa: E402
+
+ACCESS_TOKEN = "tok-3f9a8c21"  # the secret the request log must never show
+_DIAG = ("APPROVAL_BROKEN", "REALIZATION_BROKEN", "REMOTE_RE")
+_PANEL_COLS = "date, year, month, month_name, quarter, entity, product, direction, programme, " + STAGE_LIST
+_PANEL_WITH_DIAG = f"SELECT {_PANEL_COLS}, " + ", ".join(f"CAST(0 AS BIGINT) AS {d}" for d in _DIAG) + " FROM panel"
+
+
+def _lookups(spark, sf):
+    p = panel(spark, sf)
+    return PL.programme_ids(p), PL.office_names(read_table(spark, sf, "nation", ["n_nationkey", "n_name"]))
+
+
+def _pages(spark, sf, shape):
+    progs, offices = _lookups(spark, sf)
+    p = panel(spark, sf)
+    if shape == "flat":
+        return PL.flat_pages(p, progs, offices), progs, offices
+    return PL.nested_pages(p, progs, offices, order=shape), progs, offices
+
+
+def _orders_bounds(spark, sf):
+    o = read_table(spark, sf, "orders", ["o_orderdate"])
+    return o.agg(F.min("o_orderdate").cast("date").alias("start"), F.max("o_orderdate").cast("date").alias("end"))
+
+
+register(
+    "month_windows",
+    """
+WITH b AS (SELECT CAST(min(o_orderdate) AS DATE) AS s, CAST(max(o_orderdate) AS DATE) AS e FROM orders),
+m AS (SELECT s, e, CAST(unnest(generate_series(date_trunc('month', s), e, INTERVAL 1 MONTH)) AS DATE) AS m FROM b)
+SELECT strftime(m, '%Y-%m') AS month, greatest(m, s) AS window_start, least(last_day(m), e) AS window_end FROM m""",
+)(lambda spark, sf: PA.month_windows(_orders_bounds(spark, sf)))
+
+register(
+    "redact_text",
+    f"""
+WITH b AS (SELECT CAST(min(o_orderdate) AS DATE) AS s, CAST(max(o_orderdate) AS DATE) AS e FROM orders),
+m AS (SELECT s, e, CAST(unnest(generate_series(date_trunc('month', s), e, INTERVAL 1 MONTH)) AS DATE) AS m FROM b),
+w AS (SELECT strftime(m, '%Y-%m') AS month, greatest(m, s) AS ws, least(last_day(m), e) AS we FROM m)
+SELECT month, replace('GET /v2/applications/analyze.json?access_token={ACCESS_TOKEN}&start_date=' || strftime(ws, '%Y-%m-%d')
+       || '&end_date=' || strftime(we, '%Y-%m-%d') || ' failed for token {ACCESS_TOKEN}', '{ACCESS_TOKEN}', '***REDACTED***') AS log_line
+FROM w""",
+)(lambda spark, sf: PA.month_windows(_orders_bounds(spark, sf)).select(
+    "month",
+    PA.redact(F.concat(F.lit(f"GET /v2/applications/analyze.json?access_token={ACCESS_TOKEN}&start_date="),
+                       F.date_format("window_start", "yyyy-MM-dd"), F.lit("&end_date="),
+                       F.date_format("window_end", "yyyy-MM-dd"), F.lit(f" failed for token {ACCESS_TOKEN}")),
+              F.lit(ACCESS_TOKEN)).alias("log_line")))
+
+for _key, _shape in (("envelope_to_panel_flat", "flat"), ("envelope_to_panel_nested", "entity_first"),
+                     ("envelope_to_panel_reversed", "direction_first")):
+    register(_key, O.with_panel(_PANEL_WITH_DIAG))(
+        lambda spark, sf, _s=_shape: PA.envelope_to_panel(*_pages(spark, sf, _s)))
+
+_CELLS_SQL = " UNION ALL ".join(
+    f"SELECT strftime(date, '%Y-%m') AS month, entity, product, direction, '{s}' AS \"column\", CAST({s} AS BIGINT) AS n FROM panel"
+    for s in O.STAGES)
+register(
+    "parse_flat_cells",
+    O.with_panel(f"""c AS ({_CELLS_SQL} UNION ALL
+  SELECT strftime(date, '%Y-%m'), entity, product, direction, 'APPROVAL_BROKEN', CAST(0 AS BIGINT) FROM panel)
+SELECT * FROM c"""),
+)(lambda spark, sf: PA.flat_cells(*_pages(spark, sf, "flat")).drop("record_product"))
+
+register(
+    "parse_nested_buckets",
+    O.with_panel(f"""c AS ({_CELLS_SQL})
+SELECT * FROM c"""),
+)(lambda spark, sf: (lambda pg, pr, of: PA.nested_cells(pg, pr))(*_pages(spark, sf, "entity_first")).drop("record_product"))
+
+register(
+    "payload_router",
+    O.with_panel("""pg AS (SELECT DISTINCT date, entity FROM panel)
+SELECT 'flat' AS shape, CAST(count(*) AS BIGINT) AS pages FROM pg
+UNION ALL SELECT 'nested', CAST(count(*) AS BIGINT) FROM pg"""),
+)(lambda spark, sf: (lambda f, n: f.unionByName(n).groupBy(
+    F.when(PA.is_flat_payload(F.col("page")), "flat").otherwise("nested").alias("shape")).agg(
+    F.count(F.lit(1)).alias("pages")))(
+    PA.with_variant_page(_pages(spark, sf, "flat")[0]), PA.with_variant_page(_pages(spark, sf, "entity_first")[0])))
+
+register(
+    "normalise_direction",
+    O.with_panel("""SELECT CASE direction WHEN 'incoming' THEN 'Hosting' ELSE 'og' END AS raw, direction AS normalised,
+       count(DISTINCT (date, entity)) AS pages FROM panel GROUP BY 1, 2"""),
+)(lambda spark, sf: (lambda pg: pg.select(
+    "month", F.explode(F.try_variant_get(PA.with_variant_page(pg)["page"], "$.aggregations.offices.buckets[0].directions.buckets",
+                                         "array<variant>")).alias("b"), "page").select(
+    "page", F.try_variant_get("b", "$.key", "string").alias("raw")).groupBy(
+    "raw", PA.normalise_direction(F.col("raw")).alias("normalised")).agg(F.count(F.lit(1)).alias("pages")))(
+    PA.with_variant_page(_pages(spark, sf, "entity_first")[0])))
+
+register(
+    "collapse_cells",
+    O.with_panel(f"""SELECT {_PANEL_COLS.replace(STAGE_LIST, ", ".join(f"{s} * 2 AS {s}" for s in O.STAGES))}, """
+                 + ", ".join(f"CAST(0 AS BIGINT) AS {d}" for d in _DIAG) + " FROM panel"),
+)(lambda spark, sf: (lambda f, n: PA.envelope_to_panel(f[0].unionByName(n[0]), f[1], f[2]))(
+    _pages(spark, sf, "flat"), _pages(spark, sf, "entity_first")))
+
+register(
+    "open_openings",
+    O.with_panel("""SELECT strftime(date, '%Y-%m') AS month, product, direction,
+       CAST(sum(CASE WHEN direction = 'incoming' THEN APD ELSE ACC END) AS BIGINT) AS open_openings
+FROM panel GROUP BY 1, 2, 3"""),
+)(lambda spark, sf: (lambda pg, pr, of: PA.flat_open_openings(pg, pr))(*_pages(spark, sf, "flat")))
+
+register(
+    "dim_lookup",
+    """SELECT n.n_name AS entity, CAST(count(*) AS BIGINT) AS customers
+FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY 1""",
+)(lambda spark, sf: EN.with_names(
+    read_table(spark, sf, "customer", ["c_nationkey"]).withColumnRenamed("c_nationkey", "office_id"),
+    PL.office_names(read_table(spark, sf, "nation", ["n_nationkey", "n_name"]))).groupBy("entity").agg(
+    F.count(F.lit(1)).alias("customers")))
+
+register(
+    "ingest_audit",
+    O.with_panel("""b AS (SELECT CAST(min(o_orderdate) AS DATE) AS s, CAST(max(o_orderdate) AS DATE) AS e FROM orders),
+mw AS (SELECT strftime(CAST(unnest(generate_series(date_trunc('month', s), e, INTERVAL 1 MONTH)) AS DATE), '%Y-%m') AS month FROM b),
+ex AS (SELECT DISTINCT mw.month, p.product FROM mw CROSS JOIN (SELECT DISTINCT product FROM panel) p),
+got AS (SELECT DISTINCT strftime(date, '%Y-%m') AS month, product FROM panel WHERE direction = 'incoming'),
+j AS (SELECT ex.*, got.month IS NOT NULL AS ok FROM ex LEFT JOIN got ON ex.month = got.month AND ex.product = got.product)
+SELECT count(*) AS windows_attempted, count_if(ok) AS windows_succeeded, count_if(NOT ok) AS windows_failed,
+       round(coalesce(CAST(count_if(ok) AS DOUBLE) / NULLIF(count(*), 0), 0.0), 6) AS success_rate FROM j"""),
+)(lambda spark, sf: EN.ingest_audit(
+    PA.month_windows(_orders_bounds(spark, sf)).select("month", F.explode(
+        panel(spark, sf).select(F.array_sort(F.collect_set("product"))).scalar()).alias("product")),
+    panel(spark, sf).where("direction = 'incoming'").select(F.date_format("date", "yyyy-MM").alias("month"), "product"),
+    ("month", "product")))
+
+
+def _build_panel(spark, sf):
+    """Pages -> envelope files in the shared checkpoint folder -> read back -> parse -> panel."""
+    pages, progs, offices = _pages(spark, sf, "flat")
+    root = ensure_checkpoint_dir(spark).rstrip("/") + f"/envelope-{uuid.uuid4().hex}"
+    EN.write_envelope(pages, root, {"source": "tpch tables", "is_reference_data": False})
+    return PA.envelope_to_panel(EN.read_envelope(spark, root), progs, offices)
+
+
+register("build_panel", O.with_panel(_PANEL_WITH_DIAG))(_build_panel)
