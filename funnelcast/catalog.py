@@ -1149,3 +1149,29 @@ def _build_panel(spark, sf):
 
 
 register("build_panel", O.with_panel(_PANEL_WITH_DIAG))(_build_panel)
+
+# ============================================================================ M6 - M11 (MLlib, pooled over the entity fleet)
+from funnelcast.operators import learners as LN  # noqa: E402
+
+SLOW_QUERIES = {"fc_gbt"}  # 400 boosting rounds as Spark jobs; run by the checker, skipped by default in bench.py
+
+
+def _matrix(spark, sf):
+    return FE.training_matrix(panel(spark, sf), series_keys=FLEET, share_product=SHARE_PRODUCT)
+
+
+def _ml_forecast(spark, sf, name, params=None, horizon=12):
+    m = _matrix(spark, sf)
+    model = LN.fit(m, name, params)
+    hist = FC.history_series(panel(spark, sf), series_keys=FLEET).select(*FLEET, "date", "y")
+    return LN.recursive_forecast(model, panel(spark, sf), hist, FLEET, horizon, SHARE_PRODUCT, name)
+
+
+register("fc_linear", None)(lambda spark, sf: _ml_forecast(spark, sf, "linear_regression"))
+register("fc_ridge", None)(lambda spark, sf: _ml_forecast(spark, sf, "ridge"))
+register("fc_random_forest", None)(lambda spark, sf: _ml_forecast(spark, sf, "random_forest"))
+register("fc_gbt", None)(lambda spark, sf: _ml_forecast(spark, sf, "gradient_boosting"))
+register("feature_importance", None)(
+    lambda spark, sf: LN.feature_importance(LN.fit(_matrix(spark, sf), "random_forest")))
+register("backtest_learners", None)(
+    lambda spark, sf: LN.ml_backtest(_matrix(spark, sf), "linear_regression", FLEET, initial=24, step=12))
