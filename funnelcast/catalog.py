@@ -1175,3 +1175,10 @@ register("feature_importance", None)(
     lambda spark, sf: LN.feature_importance(LN.fit(_matrix(spark, sf), "random_forest")))
 register("backtest_learners", None)(
     lambda spark, sf: LN.ml_backtest(_matrix(spark, sf), "linear_regression", FLEET, initial=24, step=12))
+
+# ============================================================================ I1 - I14
+from funnelcast.operators import findings as FI  # noqa: E402
+
+register("findings", None)(
+    lambda spark, sf: FI.generate_findings(panel(spark, sf), _year_run(spark, sf, TR.CANDIDATES)))
+register("findings_history", None)(lambda spark, sf: FI.generate_findings(panel(spark, sf)))
