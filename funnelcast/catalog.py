@@ -1182,3 +1182,27 @@ from funnelcast.operators import findings as FI  # noqa: E402
 register("findings", None)(
     lambda spark, sf: FI.generate_findings(panel(spark, sf), _year_run(spark, sf, TR.CANDIDATES)))
 register("findings_history", None)(lambda spark, sf: FI.generate_findings(panel(spark, sf)))
+
+# ============================================================================ streaming ingest
+from funnelcast.streaming import ingest as ST  # noqa: E402
+
+
+def _stream_panel(spark, sf):
+    """Flat and nested pages land as envelope records; a Structured Streaming job ingests them
+    (availableNow trigger) into per-batch cell folders; the panel is rebuilt from the cells."""
+    flat, progs, offices = _pages(spark, sf, "flat")
+    nested, _, _ = _pages(spark, sf, "direction_first")
+    root = ensure_checkpoint_dir(spark).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    EN.write_envelope(flat, f"{root}/landing/flat")
+    EN.write_envelope(nested, f"{root}/landing/nested")
+    q = ST.start_cell_stream(spark, f"{root}/landing", f"{root}/cells", progs, offices,
+                             checkpoint_location=f"{root}/_checkpoint", max_files_per_trigger=64)
+    q.awaitTermination()
+    return ST.panel_from_cells(spark, f"{root}/cells")
+
+
+register(
+    "stream_ingest_panel",
+    O.with_panel(f"SELECT {_PANEL_COLS.replace(STAGE_LIST, ', '.join(f'{s} * 2 AS {s}' for s in O.STAGES))}, "
+                 + ", ".join(f"CAST(0 AS BIGINT) AS {d}" for d in _DIAG) + " FROM panel"),
+)(_stream_panel)
