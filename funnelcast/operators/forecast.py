@@ -44,6 +44,23 @@ def origins(history: DataFrame, initial: int = 24, step: int = 1, horizon: int =
     return history.where(cond)
 
 
+def check_origins(history: DataFrame, initial: int = 24, horizon: int = 1, step: int = 1, min_points: int = 12,
+                  series_keys=()) -> None:
+    """Raise when any series offers fewer than ``min_points`` origins (the source's guard).
+
+    One small aggregate (a row per series) answers it; nothing else is collected.
+    """
+    keys = _keys(series_keys)
+    per = history.groupBy(*keys).agg(F.max("n").alias("n"))
+    n_orig = F.greatest(F.floor((F.col("n") - horizon - initial) / step) + 1, F.lit(0))
+    worst = per.agg(F.min(n_orig).alias("m"), F.min("n").alias("n")).first()
+    if worst["m"] is None or worst["m"] < min_points:
+        raise ValueError(
+            f"Backtest needs at least {min_points} origins but a series offers {worst['m'] or 0} "
+            f"({worst['n']} months, initial {initial}); lower the initial training window."
+        )
+
+
 def final_origins(history: DataFrame) -> DataFrame:
     """The last row of every series: the origin for forecasting the future."""
     return history.where(F.col("rn") == F.col("n"))
