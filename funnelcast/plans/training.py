@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from funnelcast.operators import evaluation as EV
 from funnelcast.operators import forecast as FC
 from funnelcast.operators.holtwinters import holt_winters_forecasts
+from funnelcast.plans.materialize import materialize
 from funnelcast.spec import DEFAULT_SPEC, FunnelSpec
 
 CANDIDATES = FC.BASELINE_MODELS + ("holt_winters",)
@@ -44,29 +45,40 @@ def backtest(history: DataFrame, series_keys=(), initial: int = 24, step: int =
     return FC.attach_actuals(candidate_forecasts(history, o, series_keys, horizon, models), history, series_keys)
 
 
+def _identity(df: DataFrame) -> DataFrame:
+    return df
+
+
 def train_and_select(panel: DataFrame, spec: FunnelSpec = DEFAULT_SPEC, series_keys=(), models=CANDIDATES,
-                     initial: int = 24, step: int = 1, horizon: int = 1) -> dict[str, DataFrame]:
-    """History -> backtest -> metrics -> selection (lazy frames; nothing collected)."""
-    history = FC.history_series(panel, spec, series_keys)
-    preds = backtest(history, series_keys, initial, step, horizon, models)
+                     initial: int = 24, step: int = 1, horizon: int = 1, checkpoint_stages: bool = False) -> dict[str, DataFrame]:
+    """History -> backtest -> metrics -> selection (lazy frames; nothing collected).
+
+    ``checkpoint_stages`` cuts lineage after the history and the backtest (reliable
+    checkpoints in the shared folder), so the many small frames read downstream by
+    reports and findings never re-run the backtest.
+    """
+    cut = materialize if checkpoint_stages else _identity
+    history = cut(FC.history_series(panel, spec, series_keys))
+    preds = cut(backtest(history, series_keys, initial, step, horizon, models))
     metrics = EV.backtest_metrics(preds, series_keys)
-    selection = EV.model_selection(metrics, series_keys)
+    selection = cut(EV.model_selection(metrics, series_keys))
     return {"history": history, "backtest": preds, "metrics": metrics, "selection": selection,
-            "quantiles": EV.residual_quantiles(preds, series_keys)}
+            "quantiles": cut(EV.residual_quantiles(preds, series_keys))}
 
 
 def forecast_year(panel: DataFrame, year: int, spec: FunnelSpec = DEFAULT_SPEC, series_keys=(), models=CANDIDATES,
-                  horizon: int = 12, initial: int = 24) -> dict[str, DataFrame]:
+                  horizon: int = 12, initial: int = 24, checkpoint_stages: bool = False) -> dict[str, DataFrame]:
     """Forecast each series' selected model far enough to cover ``year``; label and tabulate."""
     keys = list(series_keys or ())
-    run = train_and_select(panel, spec, keys, models, initial)
+    cut = materialize if checkpoint_stages else _identity
+    run = train_and_select(panel, spec, keys, models, initial, checkpoint_stages=checkpoint_stages)
     history = run["history"]
     chosen = run["selection"].where("selected").select(*keys, "model")
     total = EV.lead_steps(F.col("origin_date"), year) + F.lit(horizon)
     future = candidate_forecasts(history, FC.final_origins(history), keys, total, models)
     future = future.join(chosen, [*keys, "model"], "left_semi")
     future = FC.future_dates(future)
-    bands = EV.forecast_intervals(future, run["quantiles"], keys)
+    bands = cut(EV.forecast_intervals(future, run["quantiles"], keys))
     in_year = bands.where(F.year("date") == year)
     thresholds = EV.activity_thresholds(history, in_year, keys, spec)
     labelled = EV.assign_activity_levels(in_year, thresholds, keys)
