@@ -1220,3 +1220,26 @@ register(
     O.with_panel(f"SELECT {_PANEL_COLS.replace(STAGE_LIST, ', '.join(f'{s} * 2 AS {s}' for s in O.STAGES))}, "
                  + ", ".join(f"CAST(0 AS BIGINT) AS {d}" for d in _DIAG) + " FROM panel"),
 )(_stream_panel)
+
+
+def _status_counts(spark, sf):
+    """Every metric key of every office node resolved through the status vocabulary."""
+    pages = PA.with_variant_page(_pages(spark, sf, "flat")[0])
+    body = F.try_variant_get(F.try_variant_get("page", "$.response", "variant"), "$", "map<string,variant>")
+    offices = pages.select(F.explode(body).alias("office_id", "node")).where(F.col("office_id").rlike("^[0-9]+$"))
+    keys = offices.select(F.explode(F.map_keys(F.try_variant_get("node", "$", "map<string,variant>"))).alias("k"))
+    pat = VOC.FLAT_CELL_PATTERN
+    st = keys.where(F.col("k").rlike(pat)).select(F.regexp_extract("k", pat, 2).alias("status"))
+    from funnelcast.functions.columns import column_of_status
+
+    return st.groupBy("status", column_of_status(F.col("status")).alias("column")).agg(F.count(F.lit(1)).alias("keys"))
+
+
+register(
+    "map_status",
+    O.with_panel("s AS (" + " UNION ALL ".join(
+        f"SELECT '{st}' AS status, '{col}' AS \"column\" FROM panel"
+        for st, col in (("applied", "APP"), ("matched", "ACH"), ("an_accepted", "ACC"), ("approved", "APD"),
+                        ("realized", "RE"), ("finished", "FI"), ("completed", "CO"), ("approval_broken", "APPROVAL_BROKEN")))
+        + ")\nSELECT status, \"column\", count(*) AS keys FROM s GROUP BY 1, 2"),
+)(_status_counts)
