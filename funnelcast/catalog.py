@@ -1210,7 +1210,7 @@ def _stream_panel(spark, sf):
     EN.write_envelope(flat, f"{root}/landing/flat")
     EN.write_envelope(nested, f"{root}/landing/nested")
     q = ST.start_cell_stream(spark, f"{root}/landing", f"{root}/cells", progs, offices,
-                             checkpoint_location=f"{root}/_checkpoint", max_files_per_trigger=64)
+                             checkpoint_location=f"{root}/_checkpoint")
     q.awaitTermination()
     return ST.panel_from_cells(spark, f"{root}/cells")
 
@@ -1243,3 +1243,56 @@ register(
                         ("realized", "RE"), ("finished", "FI"), ("completed", "CO"), ("approval_broken", "APPROVAL_BROKEN")))
         + ")\nSELECT status, \"column\", count(*) AS keys FROM s GROUP BY 1, 2"),
 )(_status_counts)
+
+# ============================================================================ A6, A7 on the daily events panel
+from funnelcast.sources.testpanel import build_daily_events_panel  # noqa: E402
+from funnelcast.spec import FunnelSpec  # noqa: E402
+
+EVENTS_SPEC = FunnelSpec(stages=("view", "click", "signup", "purchase"),
+                         labels={"view": "Viewed", "click": "Clicked", "signup": "Signed up", "purchase": "Purchased"},
+                         target="view", realized="purchase", completed="none")
+_EV_PANELS: dict = {}
+
+
+def events_panel(spark, sf):
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _EV_PANELS:
+        _EV_PANELS[key] = materialize(build_daily_events_panel(spark, sf))
+    return _EV_PANELS[key]
+
+
+_EV_CTE = """WITH ev AS (
+  SELECT CAST(ts AS DATE) AS date, 'segment_' || lpad(CAST(user_id % 25 AS VARCHAR), 2, '0') AS entity,
+         count_if(event_type = 'view') AS view, count_if(event_type = 'click') AS click,
+         count_if(event_type = 'signup') AS signup, count_if(event_type = 'purchase') AS purchase
+  FROM events GROUP BY 1, 2)"""
+_EV_STAGES = (("view", "Viewed"), ("click", "Clicked"), ("signup", "Signed up"), ("purchase", "Purchased"))
+
+register(
+    "events_funnel_overall",
+    _EV_CTE + f""",
+t AS (SELECT sum(view) AS view, sum(click) AS click, sum(signup) AS signup, sum(purchase) AS purchase FROM ev),
+l AS (SELECT * FROM (VALUES {", ".join(f"({i + 1}, '{s}', '{lb}')" for i, (s, lb) in enumerate(_EV_STAGES))}) v(stage_order, stage, stage_label)),
+c AS (SELECT l.*, CAST(CASE l.stage {" ".join(f"WHEN '{s}' THEN t.{s}" for s, _ in _EV_STAGES)} END AS BIGINT) AS cnt, t.view AS top
+      FROM l CROSS JOIN t),
+d AS (SELECT *, lag(cnt) OVER (ORDER BY stage_order) AS prev FROM c),
+e AS (SELECT *, CAST(coalesce(prev - cnt, 0) AS BIGINT) AS dropoff_count FROM d)
+SELECT CAST(stage_order AS INTEGER) AS stage_order, stage, stage_label, cnt AS "count",
+       {O.r6("CASE WHEN prev IS NOT NULL AND prev <> 0 THEN CAST(cnt AS DOUBLE) / prev * 100 ELSE 100.0 END")} AS conversion_from_previous_pct,
+       {O.r6("CAST(cnt AS DOUBLE) / (CASE WHEN top = 0 THEN 1 ELSE top END) * 100")} AS conversion_from_view_pct,
+       dropoff_count,
+       {O.r6("CASE WHEN prev IS NOT NULL AND prev <> 0 THEN CAST(prev - cnt AS DOUBLE) / prev * 100 ELSE 0.0 END")} AS dropoff_pct,
+       (stage_order > 1 AND row_number() OVER (ORDER BY (stage_order > 1) DESC, dropoff_count DESC, stage_order) = 1) AS is_biggest_dropoff
+FROM e""",
+)(lambda spark, sf: A.funnel_overall(events_panel(spark, sf), EVENTS_SPEC))
+
+register(
+    "events_funnel_by_entity",
+    _EV_CTE + f""",
+g AS (SELECT entity, CAST(sum(view) AS BIGINT) AS view, CAST(sum(click) AS BIGINT) AS click,
+             CAST(sum(signup) AS BIGINT) AS signup, CAST(sum(purchase) AS BIGINT) AS purchase FROM ev GROUP BY entity)
+SELECT entity, view, click, signup, purchase,
+       {O.r6(O.pct('click', 'view'))} AS conv_view_to_click_pct, {O.r6(O.pct('signup', 'click'))} AS conv_click_to_signup_pct,
+       {O.r6(O.pct('purchase', 'signup'))} AS conv_signup_to_purchase_pct, {O.r6(O.pct('purchase', 'view'))} AS app_to_re_pct
+FROM g""",
+)(lambda spark, sf: A.funnel_by_dimension(events_panel(spark, sf), "entity", EVENTS_SPEC))

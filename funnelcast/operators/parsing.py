@@ -288,7 +288,28 @@ def cells_to_panel(cells: DataFrame, spec: FunnelSpec = DEFAULT_SPEC, default_en
 def envelope_to_panel(pages: DataFrame, programme_names: DataFrame, entity_names: DataFrame | None = None,
                       spec: FunnelSpec = DEFAULT_SPEC, default_entity: str = "MC", max_depth: int = 8) -> DataFrame:
     """Pages of an envelope -> panel (routing, both parsers, defaults, collapse, filter, calendar)."""
+    return cells_to_panel(payload_cells(pages, programme_names, entity_names, max_depth), spec, default_entity)
+
+
+def payload_cells(pages: DataFrame, programme_names: DataFrame, entity_names: DataFrame | None = None,
+                  max_depth: int = 8) -> DataFrame:
+    """P7 routing: flat pages to :func:`flat_cells`, the rest to :func:`nested_cells`.
+
+    A branch the router sends no page to is not planned at all (one cheap
+    ``isEmpty`` probe per shape), so an all-flat envelope does not pay for planning
+    the unrolled nested walk.
+    """
     p = with_variant_page(pages).withColumn("_flat", is_flat_payload(F.col("page")))
-    flat = flat_cells(p.where("_flat").drop("_flat"), programme_names, entity_names)
-    nested = nested_cells(p.where(~F.col("_flat")).drop("_flat"), programme_names, max_depth)
-    return cells_to_panel(flat.unionByName(nested), spec, default_entity)
+    flat_pages = p.where("_flat").drop("_flat")
+    nested_pages = p.where(~F.col("_flat")).drop("_flat")
+    parts = []
+    if not flat_pages.isEmpty():
+        parts.append(flat_cells(flat_pages, programme_names, entity_names))
+    if not nested_pages.isEmpty():
+        parts.append(nested_cells(nested_pages, programme_names, max_depth))
+    if not parts:
+        return flat_cells(flat_pages, programme_names, entity_names)  # empty, with the cell schema
+    out = parts[0]
+    for extra in parts[1:]:
+        out = out.unionByName(extra)
+    return out

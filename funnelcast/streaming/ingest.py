@@ -52,10 +52,7 @@ def start_cell_stream(
     names = entity_names
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        p = batch.withColumn("_flat", PA.is_flat_payload(F.col("page")))
-        flat = PA.flat_cells(p.where("_flat").drop("_flat"), progs, names)
-        nested = PA.nested_cells(p.where(~F.col("_flat")).drop("_flat"), progs)
-        cells = flat.unionByName(nested)
+        cells = PA.payload_cells(batch, progs, names)
         cells.write.mode("overwrite").parquet(f"{cells_dir.rstrip('/')}/batch_id={batch_id}")
 
     location = checkpoint_location or (ensure_checkpoint_dir(spark).rstrip("/") + "/streams/cell-ingest")
