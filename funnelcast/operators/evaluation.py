@@ -28,12 +28,16 @@ def _w(keys) -> Window:
 
 
 def keyed_join(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
-    """Equi-join on the series keys; with no keys (one series) both sides get a constant key,
-    so the plan stays an equi-join of two one-series frames rather than a cross join."""
+    """Equi-join on the series keys.
+
+    With no keys (the one total series) ``right`` is a one-row aggregate: its columns
+    are attached as scalar subqueries (evaluated once, merged by the optimizer), so no
+    cartesian or nested-loop join appears in the plan.
+    """
     keys = _keys(keys)
     if keys:
         return left.join(right, keys, how)
-    return left.withColumn("_series", F.lit(0)).join(right.withColumn("_series", F.lit(0)), ["_series"], how).drop("_series")
+    return left.select("*", *[right.select(c).scalar().alias(c) for c in right.columns if c not in left.columns])
 
 
 # --------------------------------------------------------------------------- M15

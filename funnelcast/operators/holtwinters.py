@@ -88,10 +88,13 @@ def _fit_runs(arrays: DataFrame, keys: list[str], seasonal: bool, period: int) -
     )
 
 
-def holt_winters_forecasts(
-    history: DataFrame, origin_rows: DataFrame, series_keys=(), horizon: int = 1, period: int = 12,
-) -> DataFrame:
-    """``(keys..., origin, origin_date, step, model, y_pred, alpha, beta, gamma)`` for each requested origin."""
+def holt_winters_states(history: DataFrame, origin_rows: DataFrame, series_keys=(), period: int = 12) -> DataFrame:
+    """Best fitted state per (series, origin): ``(keys..., origin, origin_date, sse, alpha, beta, gamma, level, trend, season)``.
+
+    One recursion per (series, triple) serves every requested origin, so callers
+    that need several origin sets (backtest origins and the final origin) should
+    request them together and reuse the result.
+    """
     keys = list(series_keys or ())
     single = not keys
     if single:  # one total series: a constant key keeps every join an equi-join
@@ -119,13 +122,25 @@ def holt_winters_forecasts(
     best = states.groupBy(*keys, "origin").agg(
         F.min(F.struct(F.round("sse", 6).alias("sse"), "alpha", "beta", "gamma", "level", "trend", "season")).alias("b")
     ).select(*keys, "origin", "b.*").join(o, [*keys, "origin"])
+    return best.drop("_series") if single else best
+
+
+def holt_winters_from_states(states: DataFrame, series_keys=(), horizon=1, period: int = 12) -> DataFrame:
+    """Forecasts ``level + h * trend + season[(h - 1) mod period]`` for steps 1..horizon (int or column)."""
+    keys = list(series_keys or ())
     h = F.lit(horizon) if isinstance(horizon, int) else horizon
-    fan = best.withColumn("step", F.explode(F.sequence(F.lit(1), h)))
+    fan = states.withColumn("step", F.explode(F.sequence(F.lit(1), h)))
     point = F.col("level") + F.col("step") * F.col("trend") + F.element_at(
         "season", (F.pmod(F.col("step") - 1, F.lit(period)) + 1).cast("int")
     )
-    out = fan.select(
+    return fan.select(
         *keys, "origin", "origin_date", "step", F.lit("holt_winters").alias("model"),
         F.greatest(point, F.lit(0.0)).alias("y_pred"), "alpha", "beta", "gamma",
     )
-    return out.drop("_series") if single else out
+
+
+def holt_winters_forecasts(
+    history: DataFrame, origin_rows: DataFrame, series_keys=(), horizon=1, period: int = 12,
+) -> DataFrame:
+    """``(keys..., origin, origin_date, step, model, y_pred, alpha, beta, gamma)`` for each requested origin."""
+    return holt_winters_from_states(holt_winters_states(history, origin_rows, series_keys, period), series_keys, horizon, period)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from funnelcast.operators import evaluation as EV
 from funnelcast.operators import forecast as FC
-from funnelcast.operators.holtwinters import holt_winters_forecasts
+from funnelcast.operators.holtwinters import holt_winters_forecasts, holt_winters_from_states, holt_winters_states
 from funnelcast.plans.materialize import materialize
 from funnelcast.spec import DEFAULT_SPEC, FunnelSpec
 
@@ -23,15 +23,25 @@ CANDIDATES = FC.BASELINE_MODELS + ("holt_winters",)
 
 
 def candidate_forecasts(history: DataFrame, origin_rows: DataFrame, series_keys=(), horizon=1,
-                        models=CANDIDATES) -> DataFrame:
-    """Model registry (M13): union of every enabled candidate's forecasts for the given origins."""
+                        models=CANDIDATES, hw_states: DataFrame | None = None) -> DataFrame:
+    """Model registry (M13): union of every enabled candidate's forecasts for the given origins.
+
+    ``hw_states`` (from :func:`holt_winters_states` over a superset of origins) lets
+    several origin sets share one Holt-Winters fit.
+    """
+    keys = list(series_keys or ())
     base = [m for m in models if m in FC.BASELINE_MODELS]
     parts = []
     if base:
         parts.append(FC.baseline_forecasts(history, origin_rows, series_keys, horizon, models=base))
     if "holt_winters" in models:
-        hw = holt_winters_forecasts(history, origin_rows, series_keys, horizon).drop("alpha", "beta", "gamma")
-        parts.append(hw)
+        if hw_states is None:
+            hw = holt_winters_forecasts(history, origin_rows, series_keys, horizon)
+        else:
+            wanted = origin_rows.select(*keys, F.col("rn").alias("origin"))
+            picked = hw_states.join(wanted, [*keys, "origin"], "left_semi")
+            hw = holt_winters_from_states(picked, keys, horizon)
+        parts.append(hw.drop("alpha", "beta", "gamma"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -39,10 +49,11 @@ def candidate_forecasts(history: DataFrame, origin_rows: DataFrame, series_keys=
 
 
 def backtest(history: DataFrame, series_keys=(), initial: int = 24, step: int = 1, horizon: int = 1,
-             models=CANDIDATES) -> DataFrame:
+             models=CANDIDATES, hw_states: DataFrame | None = None) -> DataFrame:
     """M14 rolling-origin backtest of all candidates with actuals attached."""
     o = FC.origins(history, initial, step, horizon)
-    return FC.attach_actuals(candidate_forecasts(history, o, series_keys, horizon, models), history, series_keys)
+    preds = candidate_forecasts(history, o, series_keys, horizon, models, hw_states)
+    return FC.attach_actuals(preds, history, series_keys)
 
 
 def _identity(df: DataFrame) -> DataFrame:
@@ -59,11 +70,16 @@ def train_and_select(panel: DataFrame, spec: FunnelSpec = DEFAULT_SPEC, series_k
     """
     cut = materialize if checkpoint_stages else _identity
     history = cut(FC.history_series(panel, spec, series_keys))
-    preds = cut(backtest(history, series_keys, initial, step, horizon, models))
+    hw_states = None
+    if "holt_winters" in models:
+        # one Holt-Winters fit serves the backtest origins and the final (forecasting) origin
+        every = FC.origins(history, initial, step, horizon).unionByName(FC.final_origins(history))
+        hw_states = cut(holt_winters_states(history, every, series_keys))
+    preds = cut(backtest(history, series_keys, initial, step, horizon, models, hw_states))
     metrics = EV.backtest_metrics(preds, series_keys)
     selection = cut(EV.model_selection(metrics, series_keys))
     return {"history": history, "backtest": preds, "metrics": metrics, "selection": selection,
-            "quantiles": cut(EV.residual_quantiles(preds, series_keys))}
+            "quantiles": cut(EV.residual_quantiles(preds, series_keys)), "hw_states": hw_states}
 
 
 def forecast_year(panel: DataFrame, year: int, spec: FunnelSpec = DEFAULT_SPEC, series_keys=(), models=CANDIDATES,
@@ -75,7 +91,7 @@ def forecast_year(panel: DataFrame, year: int, spec: FunnelSpec = DEFAULT_SPEC,
     history = run["history"]
     chosen = run["selection"].where("selected").select(*keys, "model")
     total = EV.lead_steps(F.col("origin_date"), year) + F.lit(horizon)
-    future = candidate_forecasts(history, FC.final_origins(history), keys, total, models)
+    future = candidate_forecasts(history, FC.final_origins(history), keys, total, models, run["hw_states"])
     future = future.join(chosen, [*keys, "model"], "left_semi")
     future = FC.future_dates(future)
     bands = cut(EV.forecast_intervals(future, run["quantiles"], keys))
