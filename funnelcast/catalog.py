@@ -432,7 +432,7 @@ SELECT CAST(sum(y) AS BIGINT) AS total_applications, {O.r6('avg(y)')} AS avg_mon
        (SELECT year FROM latest) AS latest_year, (SELECT {O.r6('yoy')} FROM latest) AS latest_yoy_growth_pct,
        (SELECT strftime(date, '%b %Y') FROM pk) AS peak_month, (SELECT y FROM pk) AS peak_value,
        (SELECT strftime(date, '%b %Y') FROM tr) AS trough_month, (SELECT y FROM tr) AS trough_value,
-       (SELECT count_if(season_label = 'High') FROM prof) AS high_season_months
+       (SELECT CAST(count_if(season_label = 'High') AS BIGINT) FROM prof) AS high_season_months
 FROM m"""),
 )(lambda spark, sf: K.kpi_overview(panel(spark, sf)))
 
@@ -1138,7 +1138,8 @@ mw AS (SELECT strftime(CAST(unnest(generate_series(date_trunc('month', s), e, IN
 ex AS (SELECT DISTINCT mw.month, p.product FROM mw CROSS JOIN (SELECT DISTINCT product FROM panel) p),
 got AS (SELECT DISTINCT strftime(date, '%Y-%m') AS month, product FROM panel WHERE direction = 'incoming'),
 j AS (SELECT ex.*, got.month IS NOT NULL AS ok FROM ex LEFT JOIN got ON ex.month = got.month AND ex.product = got.product)
-SELECT count(*) AS windows_attempted, count_if(ok) AS windows_succeeded, count_if(NOT ok) AS windows_failed,
+SELECT count(*) AS windows_attempted, CAST(count_if(ok) AS BIGINT) AS windows_succeeded,
+       CAST(count_if(NOT ok) AS BIGINT) AS windows_failed,
        round(coalesce(CAST(count_if(ok) AS DOUBLE) / NULLIF(count(*), 0), 0.0), 6) AS success_rate FROM j"""),
 )(lambda spark, sf: EN.ingest_audit(
     PA.month_windows(_orders_bounds(spark, sf)).select("month", F.explode(
