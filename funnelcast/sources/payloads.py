@@ -79,8 +79,9 @@ def flat_pages(panel: DataFrame, programmes: DataFrame, offices: DataFrame, spec
         F.lit('{"response": {"'), F.col("office_id"), F.lit('": '), office,
         F.lit(", "), total, F.lit(", "), F.col("cells"), F.lit(", "), F.col("opens"), F.lit("}}"),  # parent repeats: ignored
     )
-    return per_page.join(opens, ["month", "office_id"]).select(
-        "month", F.lit(None).cast("string").alias("record_product"), page.alias("page"))
+    out = per_page.join(opens, ["month", "office_id"]).select(
+        "month", "office_id", F.lit(None).cast("string").alias("record_product"), page.alias("page"))
+    return _spread(out)
 
 
 def _bucket_list(name: str, items: str) -> F.Column:
@@ -113,7 +114,7 @@ def nested_pages(panel: DataFrame, programmes: DataFrame, offices: DataFrame, sp
         o = d.groupBy("month", "office_id", "entity").agg(F.array_sort(F.collect_list(dir_b)).alias("db"), F.sum("dc").alias("dc"))
         off_b = F.struct(F.col("office_id").cast("int").alias("key"), F.col("entity").alias("key_as_string"),
                          F.col("dc").alias("doc_count"), _bucket_list("directions", "db"))
-        top = o.select("month", F.to_json(F.struct(F.struct(F.struct(F.array(off_b).alias("buckets")).alias("offices")).alias("aggregations"))).alias("page"))
+        top = o.select("month", "office_id", F.to_json(F.struct(F.struct(F.struct(F.array(off_b).alias("buckets")).alias("offices")).alias("aggregations"))).alias("page"))
     else:
         e = prog.groupBy("month", "office_id", "entity", "dir_key").agg(
             F.array_sort(F.collect_list(prog_b)).alias("pb"), F.sum("dc").alias("dc"))
@@ -122,5 +123,12 @@ def nested_pages(panel: DataFrame, programmes: DataFrame, offices: DataFrame, sp
         dd = e.groupBy("month", "office_id", "dir_key").agg(F.array_sort(F.collect_list(ent_b)).alias("eb"), F.sum("dc").alias("dc"))
         dir_b = F.struct(F.col("dir_key").alias("key"), F.col("dc").alias("doc_count"), _bucket_list("committees", "eb"))
         top = dd.groupBy("month", "office_id").agg(F.array_sort(F.collect_list(dir_b)).alias("db")).select(
-            "month", F.to_json(F.struct(F.struct(F.col("db").alias("buckets")).alias("types"))).alias("page"))
-    return top.select("month", F.lit(None).cast("string").alias("record_product"), "page")
+            "month", "office_id", F.to_json(F.struct(F.struct(F.col("db").alias("buckets")).alias("types"))).alias("page"))
+    return _spread(top.select("month", "office_id", F.lit(None).cast("string").alias("record_product"), "page"))
+
+
+def _spread(pages: DataFrame) -> DataFrame:
+    """Pages hashed by (month, office) over the cluster's parallelism (explicit count, so AQE keeps it):
+    the aggregate that renders them is small and would otherwise hand every page to one parsing task."""
+    n = pages.sparkSession.sparkContext.defaultParallelism
+    return pages.repartition(n, "month", "office_id").drop("office_id")
