@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from funnelcast.functions.columns import literal_map
+from funnelcast.sources.tables import bounded_broadcast
 from funnelcast.spec import DEFAULT_SPEC, FunnelSpec
 
 # stage -> status key used when rendering (any alias of the status map parses back)
@@ -35,12 +36,16 @@ def office_names(nation: DataFrame) -> DataFrame:
     return nation.select(F.col("n_nationkey").cast("string").alias("office_id"), F.col("n_name").alias("entity"))
 
 
+# id vocabularies (products, offices) are broadcast only after a bounded count
+_VOCAB_BOUND = 100_000
+
+
 def _long(panel: DataFrame, spec: FunnelSpec, programmes: DataFrame, offices: DataFrame) -> DataFrame:
     stacked = F.array(*[F.struct(F.lit(s).alias("stage"), F.col(s).cast("bigint").alias("n")) for s in spec.stages])
     long = panel.select("date", "entity", "product", "direction", F.inline(stacked))
     return (
-        long.join(F.broadcast(programmes), "product")
-        .join(F.broadcast(offices), "entity")
+        long.join(bounded_broadcast(programmes, _VOCAB_BOUND), "product")
+        .join(bounded_broadcast(offices, _VOCAB_BOUND), "entity")
         .withColumn("status", F.element_at(literal_map(STATUS_KEYS), F.col("stage")))
         .withColumn("month", F.date_format("date", "yyyy-MM"))
     )
@@ -66,7 +71,8 @@ def flat_pages(panel: DataFrame, programmes: DataFrame, offices: DataFrame, spec
     total = F.concat(F.lit('"applied_total": {"doc_count": '), F.col("total").cast("string"), F.lit("}"))
     office = F.concat(F.lit("{"), total, F.lit(", "), F.col("cells"), F.lit(", "), F.col("diags"), F.lit("}"))
     # open openings per (product, direction): incoming report seats, outgoing only opportunity counts
-    wide = panel.join(F.broadcast(programmes), "product").join(F.broadcast(offices), "entity").select(
+    wide = panel.join(bounded_broadcast(programmes, _VOCAB_BOUND), "product").join(
+        bounded_broadcast(offices, _VOCAB_BOUND), "entity").select(
         F.date_format("date", "yyyy-MM").alias("month"), "office_id",
         F.concat(F.lit('"open_'), F.when(F.col("direction") == "incoming", "i").otherwise("o"), F.lit("_programme_"),
                  F.col("programme_id").cast("string"), F.lit('": '),
