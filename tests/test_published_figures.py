@@ -75,3 +75,33 @@ def test_trend_adjusted_thresholds_match_published(spark, history):
     assert th["n_ratios"] == 37
     assert th["ta_low"] == pytest.approx(0.8434, abs=1e-4)
     assert th["ta_high"] == pytest.approx(1.1182, abs=1e-4)
+
+
+# FIXED VALUES: two published feature rows (time features then history features) of the series above
+PUBLISHED_FEATURES = {
+    dt.date(2023, 1, 1): (
+        2023.0, 1.0, 1.0, 0.0, 12.0, 0.49999999999999994, 0.8660254037844387, 0.8660254037844386, 0.5000000000000001,
+        1.0, 0.0, 1.0, 0.0, 31.0,
+        1080.0, 1485.0, 1191.0, 1042.0, 1038.0, 1252.0, 209.27732796459344, 1177.8333333333333, 160.25906110628088,
+        1156.1666666666667, 231.84823928726755, 1537.0, 615.0, -27.27272727272727, 0.0, 1.0404624277456647,
+        0.9341213781173417, 35.228571428571385, 1038.0,
+    ),
+    dt.date(2024, 12, 1): (
+        2024.0, 12.0, 4.0, 0.0, 35.0, -2.4492935982947064e-16, 1.0, -4.898587196589413e-16, 1.0,
+        1.0, 0.0, 0.0, 1.0, 31.0,
+        1432.0, 1412.0, 1349.0, 1463.0, 987.0, 1397.6666666666667, 43.31666346030512, 1368.5, 81.3603097339237,
+        1452.8333333333333, 356.90203222461565, 2109.0, 987.0, 1.41643059490085, 15.297906602254429,
+        1.4508611955420465, 0.9856602041986923, 7.685714285714093, 1033.5,
+    ),
+}
+
+
+def test_feature_rows_match_published(history):
+    from funnelcast.operators import features as FE
+
+    feats = FE.history_features(FE.time_features(history.select("date", "y")))
+    rows = {r["date"]: r for r in feats.collect()}
+    names = FE.TIME_FEATURES + FE.HISTORY_FEATURES
+    for day, expected in PUBLISHED_FEATURES.items():
+        for name, value in zip(names, expected):
+            assert rows[day][name] == pytest.approx(value, rel=1e-9, abs=1e-9), (day, name)
