@@ -1297,3 +1297,18 @@ SELECT entity, view, click, signup, purchase,
        {O.r6(O.pct('purchase', 'signup'))} AS conv_signup_to_purchase_pct, {O.r6(O.pct('purchase', 'view'))} AS app_to_re_pct
 FROM g""",
 )(lambda spark, sf: A.funnel_by_dimension(events_panel(spark, sf), "entity", EVENTS_SPEC))
+
+register(
+    "kpi_forecast",
+    O.with_panel(f"""{_year_sql()},
+{_YS_CTE.replace('ys_m AS', 'ky_m AS').replace('FROM ys_m', 'FROM ky_m').replace('ys AS (', 'kys AS (').replace('FROM ys)', 'FROM kys)').replace('ysg AS', 'kysg AS')},
+last AS (SELECT year, total_applications FROM kysg ORDER BY year DESC LIMIT 1)
+SELECT CAST(sum("Predicted Applications") AS BIGINT) AS forecast_total,
+       arg_min("Month", -"Predicted Applications" * 100 + month_number) AS peak_month,
+       max("Predicted Applications") AS peak_value,
+       arg_min("Month", "Predicted Applications" * 100 + month_number) AS trough_month,
+       CAST(count_if("Activity Level" = 'High') AS BIGINT) AS high_months,
+       (SELECT year FROM last) AS last_year, (SELECT total_applications FROM last) AS last_year_total,
+       {O.r6("(sum(\"Predicted Applications\") - (SELECT total_applications FROM last)) / NULLIF(CAST((SELECT total_applications FROM last) AS DOUBLE), 0) * 100.0")} AS change_vs_last_year_pct
+FROM tab2"""),
+)(lambda spark, sf: K.kpi_forecast(_year_run(spark, sf)["table"], panel(spark, sf)))

@@ -223,3 +223,24 @@ def latest_growth(panel: DataFrame, spec: FunnelSpec = DEFAULT_SPEC) -> DataFram
         F.col("yoy_growth_pct").alias("growth_pct"),
         F.col("avg_monthly_applications").alias("latest_avg_monthly"),
     ).where(F.col("previous_year").isNotNull())
+
+
+# --------------------------------------------------------------------------- A14 (forecast side)
+def kpi_forecast(table: DataFrame, panel: DataFrame, spec: FunnelSpec = DEFAULT_SPEC) -> DataFrame:
+    """Forecast-year KPIs: total, change vs the last observed year, peak / trough month, High months."""
+    pred = F.col("Predicted Applications")
+    yearly = A.yearly_summary(panel, spec)
+    last = _pick(yearly, F.col("year").desc())
+    base = last.select("total_applications").scalar()
+    return table.agg(
+        F.sum(pred).cast("bigint").alias("forecast_total"),
+        F.min_by("Month", F.struct(-pred, F.col("month_number"))).alias("peak_month"),
+        F.max(pred).alias("peak_value"),
+        F.min_by("Month", F.struct(pred, F.col("month_number"))).alias("trough_month"),
+        F.count_if(F.col("Activity Level") == "High").alias("high_months"),
+    ).select(
+        "*",
+        last.select("year").scalar().alias("last_year"),
+        base.alias("last_year_total"),
+        ((F.col("forecast_total") - base) / F.nullif(base.cast("double"), F.lit(0.0)) * 100.0).alias("change_vs_last_year_pct"),
+    )
