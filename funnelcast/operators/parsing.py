@@ -219,13 +219,12 @@ def nested_cells(pages: DataFrame, programme_names: DataFrame | None = None, max
             empty_items,
         )
         children = F.when(F.col("kind") == "cell", F.array(item(F.lit("cell"), null_s, v))).otherwise(F.concat(elems, entries))
-        # 1) children of every node (cells pass through)
-        a = front.select(*ctx, "column", "n", F.explode(children).alias("c")).where(F.col("c.kind") != "skip")
-        # 2) a "bk" child fans out into its buckets
-        fan = F.when(F.col("c.kind") == "bk", F.try_variant_get(F.col("c.v"), "$.buckets", "array<variant>")).otherwise(
-            F.array(F.col("c.v")))
+        # 1) children of every node (cells pass through); scalars are dropped inside the array
+        a = front.select(*ctx, "column", "n", F.explode(F.filter(children, lambda c: c["kind"] != "skip")).alias("c"))
+        # 2) a "bk" child fans out into its buckets (non-object buckets dropped inside the array)
+        buckets = F.filter(F.try_variant_get(F.col("c.v"), "$.buckets", "array<variant>"), lambda x: _obj(x).isNotNull())
+        fan = F.when(F.col("c.kind") == "bk", buckets).otherwise(F.array(F.col("c.v")))
         b = a.select(*ctx, "column", "n", F.col("c.kind").alias("kind0"), F.col("c.dim").alias("dim"), F.explode(fan).alias("v"))
-        b = b.where((F.col("kind0") != "bk") | _obj(F.col("v")).isNotNull())
         # 3) classify buckets: leaf (emit a cell, keep walking it) or dimension (widen the context)
         key = F.coalesce(_str(F.col("v"), "$.key"), F.lit("None"))
         label = F.coalesce(F.nullif(_str(F.col("v"), "$.key_as_string"), F.lit("")),
