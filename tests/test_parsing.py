@@ -40,12 +40,12 @@ def test_flat_children_only_and_parent_repeats_ignored(spark):
         "i_applied_7": {"doc_count": 5},
         "o_applied_8": {"doc_count": 4},
     }}
-    names = spark.createDataFrame([("101", "Delhi")], "office_id string, entity string")
+    names = spark.createDataFrame([("101", "North")], "office_id string, entity string")
     cells = _cells(PA.flat_cells(_pages(spark, [payload]), _progs(spark), names))
     assert cells == [
-        ("Delhi", "GV", "incoming", "APP", 5),
-        ("Delhi", "GV", "incoming", "RE", 2),
-        ("Delhi", "GV", "outgoing", "APP", 3),
+        ("North", "GV", "incoming", "APP", 5),
+        ("North", "GV", "incoming", "RE", 2),
+        ("North", "GV", "outgoing", "APP", 3),
         ("office 102", "GTa", "outgoing", "APP", 4),  # unknown office id -> "office <id>"
     ]
 
@@ -70,7 +70,7 @@ def test_retired_all_zero_cells_are_dropped(spark):
 
 
 NESTED_A = {"aggregations": {"offices": {"buckets": [
-    {"key": 12, "key_as_string": "Delhi", "doc_count": 9, "directions": {"buckets": [
+    {"key": 12, "key_as_string": "North", "doc_count": 9, "directions": {"buckets": [
         {"key": "og", "programmes": {"buckets": [
             {"key": 7, "statuses": {"buckets": [{"key": "applied", "doc_count": 5}, {"key": "Realized", "doc_count": 2},
                                                 {"key": "teleported", "doc_count": 9}]}}]}},
@@ -79,7 +79,7 @@ NESTED_A = {"aggregations": {"offices": {"buckets": [
 
 NESTED_B = {"wrapper": {"types": {"buckets": [
     {"key": "OUT", "lcs": {"buckets": [
-        {"key": 12, "key_as_string": "Delhi", "program": {"buckets": [
+        {"key": 12, "key_as_string": "North", "program": {"buckets": [
             {"key": 7, "stage": {"buckets": [{"key": "applied", "doc_count": 5}, {"key": "realized", "doc_count": 2}]}},
             {"key": 8, "stage": {"buckets": [{"key": "approved", "doc_count": 1}]}}]}}]}}]}}}
 
@@ -88,9 +88,9 @@ def test_nested_walk_and_reversed_nesting_give_same_cells(spark):
     a = _cells(PA.nested_cells(_pages(spark, [NESTED_A]), _progs(spark)))
     b = _cells(PA.nested_cells(_pages(spark, [NESTED_B]), _progs(spark)))
     assert a == b == [
-        ("Delhi", "GTa", "outgoing", "APD", 1),
-        ("Delhi", "GV", "outgoing", "APP", 5),
-        ("Delhi", "GV", "outgoing", "RE", 2),
+        ("North", "GTa", "outgoing", "APD", 1),
+        ("North", "GV", "outgoing", "APP", 5),
+        ("North", "GV", "outgoing", "RE", 2),
     ]
 
 
@@ -111,9 +111,9 @@ def test_status_label_under_status_dimension(spark):
 
 def test_envelope_defaults(spark):
     page = {"status": {"buckets": [{"key": "applied", "doc_count": 4}]}}
-    panel = PA.envelope_to_panel(_pages(spark, [page], product="GTe"), _progs(spark), default_entity="MC India").collect()
+    panel = PA.envelope_to_panel(_pages(spark, [page], product="GTe"), _progs(spark), default_entity="Head office").collect()
     assert [(r["entity"], r["product"], r["direction"], r["programme"], r["APP"]) for r in panel] == [
-        ("MC India", "GTe", "unknown", "GTe", 4)]
+        ("Head office", "GTe", "unknown", "GTe", 4)]
 
 
 def test_month_windows_edges_partial_and_reversed(spark):
