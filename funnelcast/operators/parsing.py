@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from funnelcast.functions import vocab
 from funnelcast.functions.columns import (
     column_of_status,
-    literal_map,
     normalise_direction,
     programme_label,
     stage_of_status,
