@@ -23,7 +23,8 @@ def test_every_oracle_has_a_query():
     assert len(q) >= 90
 
 
-@pytest.mark.parametrize("name", ["monthly_trend", "funnel_overall", "dq_report", "backtest_metrics", "envelope_to_panel_flat"])
+@pytest.mark.parametrize("name", ["monthly_trend", "funnel_overall", "dq_report", "backtest_metrics", "envelope_to_panel_flat",
+                                  "kpi_forecast", "events_funnel_overall", "map_status"])
 def test_oracle_agrees_at_small_scale(spark, duck, name):
     from tools.oracle_check import compare
 
