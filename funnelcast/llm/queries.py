@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_tree, exact_dedup, host_rules, mixing, orc_tokens, packing
+from . import chat_tree, exact_dedup, host_rules, mixing, ngram_join, orc_tokens, packing
 from .common import find_package, new_folder, table
 
 
@@ -43,9 +43,13 @@ def op8_grace_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_token_combination_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 _PLAIN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op2_pivotal_mixing, op3_chat_prefix_tree, op4_host_rules, op5_power_of_two_packing,
-                            op7_orc_token_ids, op8_grace_exact_dedup)
+                            op7_orc_token_ids, op8_grace_exact_dedup, op10_token_combination_join)
 }
 
 
@@ -77,6 +81,22 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
   CAST(sum(head + 5 + body + 8) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op10_token_combination_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(ws[i:i + 3], ' ')) AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+f AS (SELECT s FROM g GROUP BY s HAVING count(*) > 1),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM (g SEMI JOIN f USING (s)) a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.b, w.doc_id)) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) m ON m.a = w.doc_id""",
     "op8_grace_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
