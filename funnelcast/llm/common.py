@@ -42,6 +42,16 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a :func:`materialise` result that nothing reads any more."""
+    spark = df.sparkSession
+    own = shared_dir(spark).removeprefix("file://")
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if own in folder:
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def crc_is(doc_id: str | Column, modulus: int, remainder: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``, equals ``remainder`` (null id: false)."""
     text = (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")

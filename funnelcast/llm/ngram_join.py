@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import materialise
+from .common import discard, materialise
 from .components import connected
 
 NGRAM = 4
@@ -236,16 +236,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("row_hash"), text.alias("text"))
-    sets = materialise(rows.mapInArrow(_sets(percent, ngram), _SETS), "join-sets")
+    both = materialise(rows.mapInArrow(_sets(percent, ngram), _SETS), "join-both")
+    sets = materialise(both.drop("views"), "join-sets")
 
     # one row for each distinct set
     first = sets.filter("n > 0").groupBy("doc").agg(F.min(F.struct("row_hash", "doc_id")).alias("r"), F.min("doc_id").alias("min_id"))
     classes = materialise(first.select("doc", F.col("r.row_hash").alias("row_hash"), F.col("r.doc_id").alias("rep_id"), "min_id"), "join-classes")
     reps = classes.select("doc", "row_hash", F.col("rep_id").alias("doc_id"))
-    same = [sets["doc"] == reps["doc"], sets["row_hash"] == reps["row_hash"], sets["doc_id"].eqNullSafe(reps["doc_id"])]
+    same = [both["doc"] == reps["doc"], both["row_hash"] == reps["row_hash"], both["doc_id"].eqNullSafe(reps["doc_id"])]
     views = materialise(
-        sets.filter(F.size("views") > 0).join(reps, same[0] & same[1] & same[2], "left_semi").dropDuplicates(["doc"])
+        both.filter(F.size("views") > 0).join(reps, same[0] & same[1] & same[2], "left_semi").dropDuplicates(["doc"])
         .select("doc", "n", F.explode("views").alias("v")).select("doc", "n", "v.*"), "join-views")
+    discard(both)
 
     # document frequencies of known tokens; only tokens of several sets come back to their sets
     tokens = views.select("doc", "scheme", F.explode("known").alias("token"))

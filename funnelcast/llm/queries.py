@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import chat_tree, exact_dedup, host_rules, mixing, ngram_join, orc_tokens, packing
+from . import chat_tree, exact_dedup, hmm_lm, host_rules, language, mixing, ngram_join, orc_tokens, packing, rule_classifier
 from .common import find_package, new_folder, table
 
 
+def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -32,6 +35,10 @@ def op5_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op6_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "tokens-orc")
     orc_tokens.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -43,13 +50,17 @@ def op8_grace_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_hidden_markov_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_token_combination_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 _PLAIN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pivotal_mixing, op3_chat_prefix_tree, op4_host_rules, op5_power_of_two_packing,
-                            op7_orc_token_ids, op8_grace_exact_dedup, op10_token_combination_join)
+    f.__name__: f for f in (op1_rule_ensemble, op2_pivotal_mixing, op3_chat_prefix_tree, op4_host_rules, op5_power_of_two_packing,
+                            op6_crf_language, op7_orc_token_ids, op8_grace_exact_dedup, op9_hidden_markov_lm, op10_token_combination_join)
 }
 
 
