@@ -46,8 +46,9 @@ def unescape(text: str) -> str:
 
 
 def escape_role(role: str) -> str:
-    """As :func:`escape`; line feeds and bars, which end a role, are spelt out too."""
-    return escape(role).replace("\n", "\\n").replace("|", "\\p")
+    """As :func:`escape`; line feeds and bars, which end a role, are spelt out."""
+    bare = role.replace("\\", "\\\\").replace("\n", "\\n").replace("|", "\\p")
+    return _CONTROL.sub(lambda m: m[0][0] + "\\" + m[0][1:], bare)
 
 
 def unescape_role(role: str) -> str:

@@ -83,7 +83,7 @@ WITH t AS (
 e AS (
   SELECT *,
     length(regexp_replace(replace(text, '\', '\\'), '(<\||</?s>|\[/?INST\]|<</?SYS>>)', '\1.', 'g')) AS body,
-    length(replace(regexp_replace(replace(role, '\', '\\'), '(<\||</?s>|\[/?INST\]|<</?SYS>>)', '\1.', 'g'), chr(10), '..'))
+    length(replace(regexp_replace(replace(role, '\', '\\'), '(</?s>|\[/?INST\]|<</?SYS>>)', '\1.', 'g'), chr(10), '..'))
       + length(role) - length(replace(role, '|', '')) AS head
   FROM t)
 SELECT conv_id, count(*) AS n_turns,
