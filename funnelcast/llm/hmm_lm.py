@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .chains import smooth
-from .common import crc_is, materialise
+from .common import crc_is, discard, materialise
 
 FREQUENT, FORMS = 1 << 14, 1 << 11
 END = FREQUENT + FORMS
@@ -34,7 +34,7 @@ CLASSES = END + 1
 CHUNK_BYTES = 8 << 20
 END_HASH = 0x2545F4914F6CDD1D
 
-_CHUNK = "chunk bigint, doc_ids array<bigint>, held array<boolean>, lens array<int>, codes binary, forms binary, words array<struct<w:bigint,c:int>>"
+_CHUNK = "chunk bigint, doc_ids array<bigint>, held array<boolean>, lens array<int>, codes binary, forms binary, local binary, buckets binary, words array<struct<w:bigint,c:int>>"
 _READY = "chunk bigint, doc_ids array<bigint>, held array<boolean>, lens array<int>, codes binary, classes binary, counts binary, owner binary"
 
 
@@ -77,8 +77,9 @@ def _chunks(chunk_bytes: int):
             return pa.RecordBatch.from_arrays([
                 pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([n.astype(np.int32)], pa.list_(pa.int32())),
                 pa.array([_pack(rank[codes].astype("<u4"))], pa.binary()), pa.array([np.concatenate(forms)[first][order].astype("<u2").tobytes()], pa.binary()),
+                pa.array([c[order].astype("<i4").tobytes()], pa.binary()), pa.array([(distinct[order] % np.uint64(FREQUENT)).astype("<u2").tobytes()], pa.binary()),
                 pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), table),
-            ], names=["chunk", "doc_ids", "held", "lens", "codes", "forms", "words"])
+            ], names=["chunk", "doc_ids", "held", "lens", "codes", "forms", "local", "buckets", "words"])
 
         for batch in batches:
             for a, b in words.slices(batch.column(2)):
@@ -110,16 +111,19 @@ def _unpack(packed: bytes) -> np.ndarray:
 
 
 def _attach(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A chunk and its words' corpus counts: counts by code, and which words this chunk answers for."""
-    code = right.column("code").to_numpy()
-    n = len(code)
-    counts, owner, hashes = np.zeros(n, "<i8"), np.zeros(n, bool), np.zeros(n, np.uint64)
-    counts[code] = right.column("total").to_numpy()
-    owner[code] = right.column("owner").to_numpy(zero_copy_only=False)
-    hashes[code] = right.column("bucket").to_numpy().astype(np.uint64)
+    """A chunk and its words' corpus counts: counts by code, and which words this chunk answers for.
+
+    ``right`` has the words that other chunks hold too; of any other word the chunk has the whole count.
+    """
+    counts = np.frombuffer(left.column("local")[0].as_py(), "<i4").astype("<i8")
+    owner = np.ones(len(counts), bool)
+    mark = right.column("mark").to_numpy()
+    counts[mark >> 1] = right.column("total").to_numpy()
+    owner[mark >> 1] = mark & 1
+    buckets = np.frombuffer(left.column("buckets")[0].as_py(), "<u2")
     forms = np.frombuffer(left.column("forms")[0].as_py(), "<u2").astype(np.int32)
     classes = np.where(forms == FORMS, END, FREQUENT + forms).astype("<i4")
-    both = np.stack([classes, hashes.astype("<i4")])
+    both = np.stack([classes, buckets.astype("<i4")])
     return pa.table([
         left.column("chunk"), left.column("doc_ids"), left.column("held"), left.column("lens"), left.column("codes"),
         pa.array([both.astype("<i4").tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()), pa.array([owner.tobytes()], pa.binary()),
@@ -251,12 +255,16 @@ def prepare(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "
     """Chunks with corpus counts, stored in the shared folder."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), held_out.alias("held"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     chunks = materialise(rows.mapInArrow(_chunks(chunk_bytes), _CHUNK), "lm-chunks")
-    each = chunks.select("chunk", F.posexplode("words").alias("code", "x")).select("chunk", "code", "x.w", "x.c")
+    each = chunks.select("chunk", F.posexplode("words").alias("code", "x")).select(
+        F.col("x.w").alias("w"), "chunk", (F.shiftleft(F.col("code").cast("bigint"), 31) + F.col("x.c")).alias("own"))  # counts in a chunk stay below 2^31
     word = Window.partitionBy("w")
-    summed = each.select("chunk", "code", F.pmod("w", F.lit(FREQUENT)).cast("int").alias("bucket"), F.sum("c").over(word).alias("total"),
-                         (F.min("chunk").over(word) == F.col("chunk")).alias("owner"))
+    mine = (F.min("chunk").over(word) == F.col("chunk")).cast("bigint")
+    summed = each.select("chunk", (F.shiftright("own", 31) * 2 + mine).alias("mark"), F.sum(F.col("own") % (1 << 31)).over(word).alias("total"),
+                         F.count(F.lit(1)).over(word).alias("chunks")).filter("chunks > 1").drop("chunks")
     joined = chunks.drop("words").groupBy("chunk").cogroup(summed.groupBy("chunk")).applyInArrow(_attach, _READY)
-    return materialise(joined, "lm-ready")
+    ready = materialise(joined, "lm-ready")
+    discard(chunks)
+    return ready
 
 
 def train(ready: DataFrame, states: int = 8, rounds: int = 2, warm_rounds: int = 6, warm_chunks: int = 4, frequent_share: float = 2e-6, seed: int = 7) -> Model:
