@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO = 1_200_000
+MEMO = 250_000
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 _ODD_SPACE = "[\\t\\r\\v\\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: One run of Latin letters, then perhaps one run of ASCII signs: pre-tokens that need no library call to find.
@@ -107,6 +107,7 @@ class Encoder:
         """Memo codes of the units (their leading blank left out), learning new ones."""
         if len(self.memo) > MEMO:
             self.clear()
+            pa.default_memory_pool().release_unused()
         coded = units.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         get = self.memo.get

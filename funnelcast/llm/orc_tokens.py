@@ -37,7 +37,7 @@ def encode_docs(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
         enc = encoder(tokenizer)
         for batch in batches:
             text = batch.column(1).fill_null("")
-            for a, b in words.slices(text, words.SLICE_BYTES):
+            for a, b in words.slices(text, words.BLOCK_BYTES):
                 ids, per = enc.encode(text.slice(a, b - a))
                 full = np.insert(ids, np.cumsum(per), end_id).astype(np.int32)
                 per = per + 1

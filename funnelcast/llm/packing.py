@@ -51,7 +51,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, max_len: int = MAX_LE
         enc = encoder(tokenizer)
         for batch in batches:
             text = batch.column(1).fill_null("")
-            for a, b in words.slices(text, words.SLICE_BYTES):
+            for a, b in words.slices(text, words.BLOCK_BYTES):
                 ids, per = enc.encode(text.slice(a, b - a))
                 totals = (per + 1).tolist()
                 lengths = [cuts(t, max_len) for t in totals]
