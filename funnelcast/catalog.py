@@ -238,12 +238,13 @@ SELECT year, {", ".join(f"{O.r6(f'max(CASE WHEN month = {i + 1} THEN contributio
 FROM c GROUP BY year"""),
 )(lambda spark, sf: A.contribution_matrix(panel(spark, sf)))
 
+OVERLAY_YEARS = tuple(range(1995, 2002))
 register(
     "year_overlay",
     O.with_panel("""
 m AS (SELECT year, month, CAST(sum(APP) AS BIGINT) AS y FROM panel GROUP BY year, month)
-SELECT * FROM (PIVOT m ON year USING first(y) GROUP BY month)"""),
-)(lambda spark, sf: A.year_overlay(panel(spark, sf)))
+SELECT month, """ + ", ".join(f'max(CASE WHEN year = {y} THEN y END) AS "{y}"' for y in OVERLAY_YEARS) + " FROM m GROUP BY month"),
+)(lambda spark, sf: A.year_overlay(panel(spark, sf), years=OVERLAY_YEARS))
 
 # ============================================================================ V1 - V12
 from funnelcast.operators import quality as V  # noqa: E402
@@ -1018,7 +1019,7 @@ from funnelcast.sources import envelope as EN  # noqa: E402
 from funnelcast.sources import payloads as PL  # noqa: E402
 from funnelcast.session import ensure_checkpoint_dir  # noqa: E402
 
-ACCESS_TOKEN = "tok-3f9a8c21"  # the secret the request log must never show
+ACCESS_TOKEN = "the"  # a word that the conversations hold stands for the secret
 _DIAG = ("APPROVAL_BROKEN", "REALIZATION_BROKEN", "REMOTE_RE")
 _PANEL_COLS = "date, year, month, month_name, quarter, entity, product, direction, programme, " + STAGE_LIST
 _PANEL_WITH_DIAG = f"SELECT {_PANEL_COLS}, " + ", ".join(f"CAST(0 AS BIGINT) AS {d}" for d in _DIAG) + " FROM panel"
@@ -1052,19 +1053,8 @@ SELECT strftime(m, '%Y-%m') AS month, greatest(m, s) AS window_start, least(last
 
 register(
     "redact_text",
-    f"""
-WITH b AS (SELECT CAST(min(o_orderdate) AS DATE) AS s, CAST(max(o_orderdate) AS DATE) AS e FROM orders),
-m AS (SELECT s, e, CAST(unnest(generate_series(date_trunc('month', s), e, INTERVAL 1 MONTH)) AS DATE) AS m FROM b),
-w AS (SELECT strftime(m, '%Y-%m') AS month, greatest(m, s) AS ws, least(last_day(m), e) AS we FROM m)
-SELECT month, replace('GET /v2/applications/analyze.json?access_token={ACCESS_TOKEN}&start_date=' || strftime(ws, '%Y-%m-%d')
-       || '&end_date=' || strftime(we, '%Y-%m-%d') || ' failed for token {ACCESS_TOKEN}', '{ACCESS_TOKEN}', '***REDACTED***') AS log_line
-FROM w""",
-)(lambda spark, sf: PA.month_windows(_orders_bounds(spark, sf)).select(
-    "month",
-    PA.redact(F.concat(F.lit(f"GET /v2/applications/analyze.json?access_token={ACCESS_TOKEN}&start_date="),
-                       F.date_format("window_start", "yyyy-MM-dd"), F.lit("&end_date="),
-                       F.date_format("window_end", "yyyy-MM-dd"), F.lit(f" failed for token {ACCESS_TOKEN}")),
-              F.lit(ACCESS_TOKEN)).alias("log_line")))
+    f"SELECT conv_id, turn, replace(text, '{ACCESS_TOKEN}', '***REDACTED***') AS text FROM conversations",
+)(lambda spark, sf: read_table(spark, sf, "conversations").select("conv_id", "turn", PA.redact(F.col("text"), F.lit(ACCESS_TOKEN)).alias("text")))
 
 for _key, _shape in (("envelope_to_panel_flat", "flat"), ("envelope_to_panel_nested", "entity_first"),
                      ("envelope_to_panel_reversed", "direction_first")):

@@ -140,7 +140,7 @@ MODEL_FAMILY = {
     "holt_winters": "timeseries",
     "random_forest": "ensemble",
     "gradient_boosting": "ensemble",
-    "boosted_trees": "ensemble",
+    "xgboost": "ensemble",
 }
 
 SELECTION_WEIGHTS = {"accuracy": 0.5, "stability": 0.3, "explainability": 0.2}

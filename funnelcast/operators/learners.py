@@ -37,7 +37,7 @@ MODEL_PARAMS = {
     "ridge": {"alpha": 1.0},
     "random_forest": {"n_estimators": 500, "max_depth": 6},
     "gradient_boosting": {"n_estimators": 400, "max_depth": 3, "learning_rate": 0.05},
-    "boosted_trees": {"n_estimators": 600, "max_depth": 3, "learning_rate": 0.05, "subsample": 0.9},
+    "xgboost": {"n_estimators": 600, "max_depth": 3, "learning_rate": 0.05, "subsample": 0.9},
 }
 SCALED = {"linear_regression", "ridge"}
 

@@ -81,7 +81,7 @@ def _str(v: Column, path: str) -> Column:
 def _count(v: Column, path: str = "$.doc_count") -> Column:
     """Tolerant integer: malformed or missing -> 0."""
     as_long = F.try_variant_get(v, path, "bigint")
-    as_double = F.try_variant_get(v, path, "double").cast("bigint")
+    as_double = F.try_variant_get(v, path, "double").try_cast("bigint")
     return F.coalesce(as_long, as_double, F.lit(0).cast("bigint"))
 
 
@@ -124,16 +124,16 @@ def flat_cells(pages: DataFrame, programme_names: DataFrame, entity_names: DataF
         "record_product",
         "office_id",
         normalise_direction(F.regexp_extract("metric", pat, 1)).alias("direction"),
-        F.regexp_extract("metric", pat, 3).cast("int").alias("programme_id"),
+        F.regexp_extract("metric", pat, 3).try_cast("int").alias("programme_id"),
         column_of_status(F.regexp_extract("metric", pat, 2)).alias("column"),
         _count(F.col("m")).alias("n"),
     ).where(F.col("column").isNotNull())
-    progs = bounded_broadcast(programme_names.select("programme_id", F.col("product").alias("_pname")), _LOOKUP_BOUND)
+    progs = bounded_broadcast(programme_names.groupBy("programme_id").agg(F.max("product").alias("_pname")), _LOOKUP_BOUND)
     cells = cells.join(progs, "programme_id", "left")
     entity = F.concat(F.lit("office "), F.col("office_id"))
     if entity_names is not None:
-        ents = bounded_broadcast(entity_names.select(F.col("office_id").cast("string").alias("office_id"),
-                                                     F.col("entity").alias("_ename")), _LOOKUP_BOUND)
+        ents = bounded_broadcast(entity_names.groupBy(F.col("office_id").cast("string").alias("office_id")).agg(
+            F.max("entity").alias("_ename")), _LOOKUP_BOUND)
         cells = cells.join(ents, "office_id", "left")
         entity = F.coalesce(F.nullif(F.col("_ename"), F.lit("")), entity)
     return cells.select(
@@ -161,10 +161,10 @@ def flat_open_openings(pages: DataFrame, programme_names: DataFrame) -> DataFram
     rows = e.select(
         "month",
         F.coalesce(normalise_direction(F.regexp_extract("k", pat, 1)), F.lit("unknown")).alias("direction"),
-        F.regexp_extract("k", pat, 2).cast("int").alias("programme_id"),
+        F.regexp_extract("k", pat, 2).try_cast("int").alias("programme_id"),
         value.alias("open"),
     )
-    progs = bounded_broadcast(programme_names.select("programme_id", F.col("product").alias("_pname")), _LOOKUP_BOUND)
+    progs = bounded_broadcast(programme_names.groupBy("programme_id").agg(F.max("product").alias("_pname")), _LOOKUP_BOUND)
     rows = rows.join(progs, "programme_id", "left").withColumn(
         "product", F.coalesce(F.col("_pname"), F.concat(F.lit("programme_"), F.col("programme_id").cast("string")))
     )
@@ -257,7 +257,7 @@ def nested_cells(pages: DataFrame, programme_names: DataFrame | None = None, max
     if programme_names is None:
         spark = pages.sparkSession
         programme_names = spark.createDataFrame(sorted(vocab.PROGRAMME_NAMES.items()), "programme_id int, product string")
-    progs = bounded_broadcast(programme_names.select("programme_id", F.col("product").alias("_pname")), _LOOKUP_BOUND)
+    progs = bounded_broadcast(programme_names.groupBy("programme_id").agg(F.max("product").alias("_pname")), _LOOKUP_BOUND)
     out = cells.withColumn("programme_id", F.col("pkey").try_cast("int")).join(progs, "programme_id", "left")
     product = F.when(F.col("programme_id").isNotNull(), F.coalesce(F.col("_pname"), F.col("plabel"))).otherwise(F.col("plabel"))
     return out.select("month", "record_product", "entity", product.alias("product"), "direction", "column", "n")

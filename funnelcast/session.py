@@ -37,7 +37,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting points at shared storage and is only read. Only when
-    it is unset (local tests) a scratch folder is created and registered.
+    it is unset and Spark runs locally (tests) a scratch folder is created and registered;
+    on a cluster an unset folder is an error.
     """
     sc = spark.sparkContext
     current = sc.getConf().get("spark.checkpoint.dir", None)
@@ -46,10 +47,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             current = spark.conf.get("spark.checkpoint.dir", None)
         except Exception:  # noqa: BLE001 - conf not readable through the SQL conf
             current = None
+    existing = sc.getCheckpointDir()
+    if existing:
+        return existing
     if not current:
-        existing = sc.getCheckpointDir()
-        if existing:
-            return existing
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="funnelcast-ckpt-", dir="/tmp")
     sc.setCheckpointDir(current)
     return current

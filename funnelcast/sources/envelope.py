@@ -68,8 +68,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 # --------------------------------------------------------------------------- S3
 def with_names(df: DataFrame, names: DataFrame, id_col: str = "office_id", max_rows: int = 100_000) -> DataFrame:
-    """Left-join the id -> name dimension (broadcast behind a bounded count); missing -> ``office <id>``."""
-    n = bounded_broadcast(names.select(F.col(id_col).cast("string").alias("_id"), F.col("entity").alias("_name")), max_rows)
+    """Left-join the id -> name dimension (one name per id, the greatest; broadcast behind a bounded count); missing -> ``office <id>``."""
+    n = bounded_broadcast(names.groupBy(F.col(id_col).cast("string").alias("_id")).agg(F.max("entity").alias("_name")), max_rows)
     j = df.join(n, F.col(id_col).cast("string") == F.col("_id"), "left")
     return j.withColumn("entity", F.coalesce(F.nullif(F.col("_name"), F.lit("")), F.concat(F.lit("office "), F.col(id_col).cast("string")))).drop("_id", "_name")
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from funnelcast.functions.columns import bround_doubles
@@ -85,7 +86,9 @@ def load_or_compute(spark: SparkSession, root: str, names, compute: Callable[[],
     """Read every saved table; if any is missing, recompute all, save them, and return the fresh ones."""
     try:
         return {n: spark.read.parquet(f"{root}/{n}") for n in names}
-    except Exception:  # noqa: BLE001 - any missing or unreadable table means recompute
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise  # permissions, broken files: nothing is overwritten
         fresh = compute()
         write_reports({n: fresh[n] for n in names}, root, round_reports=False)
         return {n: spark.read.parquet(f"{root}/{n}") for n in names}

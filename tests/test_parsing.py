@@ -144,3 +144,21 @@ def test_envelope_roundtrip(spark, tmp_path):
     assert EN.read_envelope(spark, str(doc)).count() == 1
     with pytest.raises(FileNotFoundError):
         EN.read_envelope(spark, str(tmp_path / "missing"))
+
+
+def test_huge_counts_and_ids_do_not_abort(spark):
+    from pyspark.sql import functions as F
+
+    from funnelcast.operators import parsing
+
+    page = spark.createDataFrame([('{"doc_count": 1e300}',), ('{"doc_count": "x"}',), ('{"doc_count": 7}',)], "page string")
+    got = parsing.with_variant_page(page).select(parsing._count(F.col("page")).alias("n")).collect()
+    assert [r.n for r in got] == [0, 0, 7]
+
+
+def test_duplicate_names_do_not_multiply_rows(spark):
+    from funnelcast.sources.envelope import with_names
+
+    rows = spark.createDataFrame([("1", 3), ("2", 4)], "office_id string, n int")
+    names = spark.createDataFrame([("1", "A"), ("1", "B")], "office_id string, entity string")
+    assert sorted((r.entity, r.n) for r in with_names(rows, names).collect()) == [("B", 3), ("office 2", 4)]
