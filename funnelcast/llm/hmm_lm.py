@@ -31,7 +31,7 @@ from .common import crc_is, discard, materialise
 FREQUENT, FORMS = 1 << 14, 1 << 11
 END = FREQUENT + FORMS
 CLASSES = END + 1
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 12 << 20
 END_HASH = 0x2545F4914F6CDD1D
 
 _CHUNK = "chunk bigint, doc_ids array<bigint>, held array<boolean>, lens array<int>, codes binary, forms binary, local binary, buckets binary, words array<struct<w:bigint,c:int>>"
