@@ -8,6 +8,9 @@ pre-tokenizer makes anyway, and each distinct unit needs the library only once:
   a blank that touches other white space would not be such a border; texts holding one are
   encoded whole.
 
+New units without white space of a ``byte_bpe`` file go to the library many in one text: each unit's
+first token is then the only one that begins with a blank, which tells where its ids begin.
+
 The memo is bounded (``MEMO`` units); it is dropped when full, which changes time only.
 """
 
@@ -17,13 +20,16 @@ import json
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 MEMO = 250_000
+JOINED = 500
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
+_SPACE = re.compile(r"\s")
 _ODD_SPACE = "[\\t\\r\\v\\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: One run of Latin letters, then perhaps one run of ASCII signs: pre-tokens that need no library call to find.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
@@ -50,8 +56,10 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.drops_space = (spec.get("pre_tokenizer") or {}).get("type") == "Sequence"
-        self.lead = "" if self.drops_space else "\u0120"
         self.letters = _byte_letters()
+        vocab = self.tok.get_vocab()
+        self.blank_first = np.zeros(max(vocab.values()) + 1, bool)
+        self.blank_first[[i for token, i in vocab.items() if token.startswith("\u0120")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -66,8 +74,7 @@ class Encoder:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pre_token(self, text: str) -> list[int]:
-        if self.drops_space:
-            text = text.lower()
+        text = text.lower()
         return [t.id for t in self.model.tokenize(text if text.isascii() else text.translate(self.letters))]
 
     def _add(self, unit: str, ids: list[int]) -> int:
@@ -82,7 +89,35 @@ class Encoder:
         self.memo[unit] = n
         return n
 
+    def _add_many(self, units: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = len(self.memo), len(units)
+        if n + m > len(self.starts):
+            self.starts, self.sizes = np.resize(self.starts, 2 * (n + m)), np.resize(self.sizes, 2 * (n + m))
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * (len(self.flat) + len(ids)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[n : n + m] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[n : n + m] = sizes
+        self.used += len(ids)
+        self.memo.update(zip(units, range(n, n + m)))
+
+    def _learn_blank_led(self, units: list[str]) -> None:
+        """Memoise units that follow a blank; those with white space inside or empty ones go one by one."""
+        joint = [u for u in units if u and not _SPACE.search(u)]
+        texts = [" " + " ".join(joint[i : i + JOINED]) for i in range(0, len(joint), JOINED)]
+        ids = np.fromiter(chain.from_iterable(self._library(texts)), np.int32)
+        begins = np.flatnonzero(self.blank_first[ids])
+        if len(begins) != len(joint):  # a file that splits otherwise: every unit by itself
+            alone = units
+        else:
+            self._add_many(joint, ids, np.diff(begins, append=len(ids)))
+            alone = [u for u in units if not u or _SPACE.search(u)]
+        for u, one in zip(alone, self._library([" " + u for u in alone])):
+            self._add(u, one)
+
     def _learn(self, units: list[str]) -> None:
+        if not self.drops_space:
+            return self._learn_blank_led(units)
         rest = []
         for u in units:
             found = _PLAIN.fullmatch(u)
@@ -92,7 +127,7 @@ class Encoder:
             word, tail = found.groups()
             code = self.memo.get(word)
             if code is None:
-                code = self._add(word, self._pre_token(self.lead + word))
+                code = self._add(word, self._pre_token(word))
             if tail:
                 more = self.signs.get(tail)
                 if more is None:
@@ -100,7 +135,7 @@ class Encoder:
                 a = self.starts[code]
                 self._add(u, [*self.flat[a : a + self.sizes[code]].tolist(), *more])
         if rest:
-            for u, ids in zip(rest, self._library(rest if self.drops_space else [" " + u for u in rest])):
+            for u, ids in zip(rest, self._library(rest)):
                 self._add(u, ids)
 
     def _codes(self, units: pa.Array) -> np.ndarray:
