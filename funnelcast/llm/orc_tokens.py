@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words
+from .common import materialise
 from .encode import encoder
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids array<int>"
@@ -74,10 +75,11 @@ def with_starts(tokens: DataFrame) -> DataFrame:
 
     Two levels: sums per file (one short row each) are accumulated, then each file's rows. The
     files are sorted, so a file's rows are accumulated in doc_id order; equal ids lie in one file
-    and follow their checksum of ids.
+    and follow their checksum of ids. The ids are read once: checksums are short rows, written to the
+    shared folder for both levels.
     """
     rows = tokens.withColumn("file", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int"))
-    crcs = _checksums(rows)
+    crcs = materialise(_checksums(rows), "token-checksums")
     files = crcs.groupBy("file").agg(F.sum("n_tokens").alias("file_tokens"))
     before = files.select("file", (F.sum("file_tokens").over(Window.orderBy("file")) - F.col("file_tokens")).alias("file_start"))
     inner = Window.partitionBy("file").orderBy("doc_id", "ids_crc32")
