@@ -3,7 +3,9 @@
 BPE never merges across pre-token borders, so a text may be cut at borders that the
 pre-tokenizer makes anyway, and each distinct unit needs the library only once:
 
-* ``word_bpe`` files drop white space: units are the pieces between blanks and line feeds;
+* ``word_bpe`` files drop white space: units are the pieces between blanks and line feeds. No pre-token of
+  theirs goes from a letter on to an ASCII sign, so a blank put there changes nothing and spares the memo
+  every word's forms with signs behind it;
 * ``byte_bpe`` files keep a blank with the word after it: units are ``" word"``. A cut before
   a blank that touches other white space would not be such a border; texts holding one are
   encoded whole.
@@ -31,8 +33,9 @@ JOINED = 500
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 _SPACE = re.compile(r"\s")
 _ODD_SPACE = "[\\t\\r\\v\\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-#: One run of Latin letters, then perhaps one run of ASCII signs: pre-tokens that need no library call to find.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: One run of Latin letters: a pre-token that needs no library call to find.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_SIGNED = "([A-Za-z])([.,;:!?])"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -64,7 +67,6 @@ class Encoder:
 
     def clear(self) -> None:
         self.memo: dict[str, int] = {}
-        self.signs: dict[str, list[int]] = {}
         self.starts = np.zeros(1 << 16, np.int64)
         self.sizes = np.zeros(1 << 16, np.int32)
         self.flat = np.zeros(1 << 18, np.int32)
@@ -73,10 +75,6 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pre_token(self, text: str) -> list[int]:
-        text = text.lower()
-        return [t.id for t in self.model.tokenize(text if text.isascii() else text.translate(self.letters))]
-
     def _add(self, unit: str, ids: list[int]) -> int:
         n, m = len(self.memo), len(ids)
         if n >= len(self.starts):
@@ -118,25 +116,16 @@ class Encoder:
     def _learn(self, units: list[str]) -> None:
         if not self.drops_space:
             return self._learn_blank_led(units)
-        rest = []
-        for u in units:
-            found = _PLAIN.fullmatch(u)
-            if not found:
-                rest.append(u)
-                continue
-            word, tail = found.groups()
-            code = self.memo.get(word)
-            if code is None:
-                code = self._add(word, self._pre_token(word))
-            if tail:
-                more = self.signs.get(tail)
-                if more is None:
-                    more = self.signs[tail] = self._pre_token(tail)
-                a = self.starts[code]
-                self._add(u, [*self.flat[a : a + self.sizes[code]].tolist(), *more])
-        if rest:
-            for u, ids in zip(rest, self._library(rest)):
-                self._add(u, ids)
+        plain = _PLAIN.fullmatch
+        latin = [u for u in units if plain(u)]
+        if latin:
+            letters, tokenize = self.letters, self.model.tokenize
+            lowered = "\n".join(latin).lower().split("\n")
+            ids = [[t.id for t in tokenize(u if u.isascii() else u.translate(letters))] for u in lowered]
+            self._add_many(latin, np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int32, len(ids)))
+        rest = [u for u in units if not plain(u)]
+        for u, one in zip(rest, self._library(rest)):
+            self._add(u, one)
 
     def _codes(self, units: pa.Array) -> np.ndarray:
         """Memo codes of the units (their leading blank left out), learning new ones."""
@@ -163,7 +152,8 @@ class Encoder:
         if not len(texts):
             return np.empty(0, np.int32), np.empty(0, np.int64)
         if self.drops_space:
-            split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+            apart = pc.replace_substring_regex(texts, _SIGNED, r"\1 \2")
+            split = pc.split_pattern(pc.replace_substring(apart, "\n", " "), " ")
             codes = self._codes(split.flatten())
             return self._gather(codes), self._per_text(self.sizes[codes], pc.list_value_length(split).to_numpy())
         risky = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, "\n ")), pc.match_substring_regex(texts, _ODD_SPACE))
