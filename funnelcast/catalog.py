@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from funnelcast import oracle as O
 from funnelcast.functions.columns import round_doubles
 from funnelcast.operators import reports as A
+from funnelcast.sources.tables import folder_state
 from funnelcast.sources.testpanel import build_test_panel
 from funnelcast.plans.materialize import materialize
 
@@ -46,7 +47,7 @@ def panel(spark: SparkSession, sf_dir: str, variant: str = "main") -> DataFrame:
     every report reads the checkpointed panel from the shared checkpoint folder,
     which also survives executor loss without recomputing the joins.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, variant)
+    key = (folder_state(spark, sf_dir), variant)
     cached = _PANELS.get(key)
     if cached is None:
         cached = materialize(build_test_panel(spark, sf_dir, variant))
@@ -288,7 +289,7 @@ r_pass AS ({union})"""
 _GAPS_SQL = f"""cal AS (SELECT CAST(unnest(generate_series(DATE '{COLLECTION_WINDOW[0]}', DATE '{COLLECTION_WINDOW[1]}', INTERVAL 1 MONTH)) AS DATE) AS date),
 gaps AS (SELECT date FROM cal WHERE date NOT IN (SELECT DISTINCT date FROM panel)),
 r_gaps AS (SELECT 'month_gaps' AS "check", 'error' AS severity, CAST(count(*) AS BIGINT) AS n,
-                  NULLIF(array_to_string(list_slice(list(strftime(date, '%Y-%m') ORDER BY date), 1, 6), ','), '') AS detail FROM gaps)"""
+                  NULLIF(array_to_string(list(strftime(date, '%Y-%m') ORDER BY date), ','), '') AS detail FROM gaps)"""
 _DUPES_SQL = """r_dupes AS (SELECT 'duplicates' AS "check", 'warning' AS severity,
                    CAST(coalesce(sum(CASE WHEN c > 1 THEN c - 1 END), 0) AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS detail
             FROM (SELECT count(*) AS c FROM panel GROUP BY date, entity, programme))"""
@@ -941,7 +942,7 @@ _RUNS: dict = {}
 
 def _year_run(spark, sf, models=_BASE):
     """The total-series train/select/forecast run, stage-checkpointed once per session and reused."""
-    key = (spark.sparkContext.applicationId, sf, tuple(models))
+    key = (folder_state(spark, sf), tuple(models))
     if key not in _RUNS:
         _RUNS[key] = TR.forecast_year(panel(spark, sf), FORECAST_YEAR, models=models, checkpoint_stages=True)
     return _RUNS[key]
@@ -1077,6 +1078,18 @@ register(
 SELECT * FROM c"""),
 )(lambda spark, sf: (lambda pg, pr, of: PA.nested_cells(pg, pr))(*_pages(spark, sf, "entity_first")).drop("record_product"))
 
+DEEP_LEVELS = 20  # wrappers around every page
+
+
+def _deep_cells(spark, sf):
+    """The nested pages, each inside ``DEEP_LEVELS`` objects."""
+    pages, progs, _ = _pages(spark, sf, "entity_first")
+    wrapped = F.concat(F.lit('{"wrapper": ' * DEEP_LEVELS), F.col("page"), F.lit("}" * DEEP_LEVELS))
+    return PA.nested_cells(pages.withColumn("page", wrapped), progs).drop("record_product")
+
+
+register("parse_deep_buckets", O.with_panel(f"c AS ({_CELLS_SQL})\nSELECT * FROM c"))(_deep_cells)
+
 register(
     "payload_router",
     O.with_panel("""pg AS (SELECT DISTINCT date, entity FROM panel)
@@ -1159,7 +1172,7 @@ _MATRICES: dict = {}
 
 def _matrix(spark, sf):
     """The entity-fleet training matrix, checkpointed once per session (shared by every learner query)."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = folder_state(spark, sf)
     if key not in _MATRICES:
         _MATRICES[key] = materialize(FE.training_matrix(panel(spark, sf), series_keys=FLEET, share_product=SHARE_PRODUCT))
     return _MATRICES[key]
@@ -1246,7 +1259,7 @@ _EV_PANELS: dict = {}
 
 
 def events_panel(spark, sf):
-    key = (spark.sparkContext.applicationId, sf)
+    key = folder_state(spark, sf)
     if key not in _EV_PANELS:
         _EV_PANELS[key] = materialize(build_daily_events_panel(spark, sf))
     return _EV_PANELS[key]

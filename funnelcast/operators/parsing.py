@@ -30,6 +30,7 @@ from funnelcast.functions.columns import (
     stage_of_status,
     with_calendar,
 )
+from funnelcast.plans.materialize import materialize
 from funnelcast.sources.tables import bounded_broadcast
 from funnelcast.spec import DEFAULT_SPEC, FunnelSpec
 
@@ -175,7 +176,7 @@ def flat_open_openings(pages: DataFrame, programme_names: DataFrame) -> DataFram
 _ITEM = "struct<kind:string,dim:string,v:variant>"
 
 
-def nested_cells(pages: DataFrame, programme_names: DataFrame | None = None, max_depth: int = 8) -> DataFrame:
+def nested_cells(pages: DataFrame, programme_names: DataFrame | None = None, levels: int = 8) -> DataFrame:
     """Cells of nested-bucket pages, any depth and nesting order (stages only).
 
     A bucket is a stage leaf when its key (or, under a status dimension, its label)
@@ -185,9 +186,10 @@ def nested_cells(pages: DataFrame, programme_names: DataFrame | None = None, max
     direction or product dimension.
 
     The walk is a linear chain of generator steps (three per level), one frontier
-    per level; emitted cells ride along as pass-through rows, so the plan grows
-    linearly with ``max_depth``. Product ids are resolved after the walk with one
-    lookup join (``programme_names``: programme_id, product; default: the fixed
+    per level; emitted cells ride along as pass-through rows. ``levels`` steps make
+    one pass, whose frontier is checkpointed; passes go on until no node is left, so
+    pages of any depth are read whole. Product ids are resolved after the walk with
+    one lookup join (``programme_names``: programme_id, product; default: the fixed
     programme table).
     """
     p = with_variant_page(pages)
@@ -201,7 +203,7 @@ def nested_cells(pages: DataFrame, programme_names: DataFrame | None = None, max
     def item(kind, dim, v):
         return F.struct(kind.alias("kind"), dim.alias("dim"), v.alias("v"))
 
-    for _ in range(max_depth):
+    def step(front: DataFrame) -> DataFrame:
         v = F.col("v")
         elems = F.coalesce(F.transform(_arr(v), lambda e: item(F.lit("node"), null_s, e)), empty_items)
         entries = F.coalesce(
@@ -252,8 +254,18 @@ def nested_cells(pages: DataFrame, programme_names: DataFrame | None = None, max
         walk_wide = row(widened, F.lit("node"), null_s, F.lit(None).cast("bigint"))
         passthru = row(same, F.col("kind0"), F.col("column"), F.col("n"))
         out = F.when(leaf, F.array(cell, walk_same)).when(is_bk, F.array(walk_wide)).otherwise(F.array(passthru))
-        front = b.select(F.inline(out))
-    cells = front.where(F.col("kind") == "cell")
+        return b.select(F.inline(out))
+
+    cells = None
+    while True:
+        for _ in range(levels):
+            front = step(front)
+        walked = materialize(front.withColumn("v", F.when(F.col("kind") != "cell", F.col("v"))))
+        found = walked.where(F.col("kind") == "cell")
+        cells = found if cells is None else cells.unionByName(found)
+        front = walked.where(F.col("kind") != "cell")
+        if front.isEmpty():
+            break
     if programme_names is None:
         spark = pages.sparkSession
         programme_names = spark.createDataFrame(sorted(vocab.PROGRAMME_NAMES.items()), "programme_id int, product string")
@@ -284,18 +296,17 @@ def cells_to_panel(cells: DataFrame, spec: FunnelSpec = DEFAULT_SPEC, default_en
 
 
 def envelope_to_panel(pages: DataFrame, programme_names: DataFrame, entity_names: DataFrame | None = None,
-                      spec: FunnelSpec = DEFAULT_SPEC, default_entity: str = "MC", max_depth: int = 8) -> DataFrame:
+                      spec: FunnelSpec = DEFAULT_SPEC, default_entity: str = "MC") -> DataFrame:
     """Pages of an envelope -> panel (routing, both parsers, defaults, collapse, filter, calendar)."""
-    return cells_to_panel(payload_cells(pages, programme_names, entity_names, max_depth), spec, default_entity)
+    return cells_to_panel(payload_cells(pages, programme_names, entity_names), spec, default_entity)
 
 
-def payload_cells(pages: DataFrame, programme_names: DataFrame, entity_names: DataFrame | None = None,
-                  max_depth: int = 8) -> DataFrame:
+def payload_cells(pages: DataFrame, programme_names: DataFrame, entity_names: DataFrame | None = None) -> DataFrame:
     """P7 routing: flat pages to :func:`flat_cells`, the rest to :func:`nested_cells`.
 
     A branch the router sends no page to is not planned at all (one cheap
     ``isEmpty`` probe per shape), so an all-flat envelope does not pay for planning
-    the unrolled nested walk.
+    and running the nested walk.
     """
     p = with_variant_page(pages).withColumn("_flat", is_flat_payload(F.col("page")))
     flat_pages = p.where("_flat").drop("_flat")
@@ -304,7 +315,7 @@ def payload_cells(pages: DataFrame, programme_names: DataFrame, entity_names: Da
     if not flat_pages.isEmpty():
         parts.append(flat_cells(flat_pages, programme_names, entity_names))
     if not nested_pages.isEmpty():
-        parts.append(nested_cells(nested_pages, programme_names, max_depth))
+        parts.append(nested_cells(nested_pages, programme_names))
     if not parts:
         return flat_cells(flat_pages, programme_names, entity_names)  # empty, with the cell schema
     out = parts[0]

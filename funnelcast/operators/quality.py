@@ -106,8 +106,8 @@ def expected_months(df: DataFrame, start: str, end: str) -> DataFrame:
     )
 
 
-def check_month_gaps(panel: DataFrame, start: str | None = None, end: str | None = None, show: int = 6) -> DataFrame:
-    """Months of the collection window absent from the panel (error); lists the first ``show``."""
+def check_month_gaps(panel: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Months of the collection window absent from the panel (error); lists them all (bounded by the calendar)."""
     present = panel.select("date").distinct()
     if start is None or end is None:
         bounds = panel.agg(F.min("date").alias("s"), F.max("date").alias("e"))
@@ -117,8 +117,8 @@ def check_month_gaps(panel: DataFrame, start: str | None = None, end: str | None
     gaps = grid.join(present, "date", "left_anti")
     return gaps.agg(
         F.count(F.lit(1)).alias("n"),
-        F.slice(F.array_sort(F.collect_list(F.date_format("date", "yyyy-MM"))), 1, show).alias("first"),
-    ).select(F.inline(F.array(_row("month_gaps", "error", F.col("n"), F.nullif(F.array_join("first", ","), F.lit(""))))))
+        F.array_sort(F.collect_list(F.date_format("date", "yyyy-MM"))).alias("gaps"),
+    ).select(F.inline(F.array(_row("month_gaps", "error", F.col("n"), F.nullif(F.array_join("gaps", ","), F.lit(""))))))
 
 
 # --------------------------------------------------------------------------- V7

@@ -26,6 +26,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns=None) -> Dat
     return df
 
 
+def folder_state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Name, time, bytes and file count of every table under ``sf_dir``: the key under which derived frames may be reused."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    state = []
+    for entry in fs.listStatus(path):
+        held = fs.getContentSummary(entry.getPath())
+        state.append((entry.getPath().getName(), entry.getModificationTime(), held.getLength(), held.getFileCount()))
+    return (spark.sparkContext.applicationId, sf_dir, *sorted(state))
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
 

@@ -14,12 +14,13 @@ unless a location is given; nothing uses a machine-local folder.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from funnelcast.operators import parsing as PA
-from funnelcast.session import ensure_checkpoint_dir
 from funnelcast.spec import DEFAULT_SPEC, FunnelSpec
 
 
@@ -42,20 +43,25 @@ def start_cell_stream(
     available_now: bool = True,
     max_files_per_trigger: int | None = None,
 ) -> StreamingQuery:
-    """Start the ingest stream ``records_dir`` (JSON lines) -> ``cells_dir`` (parquet, one folder per batch)."""
+    """Start the ingest stream ``records_dir`` (JSON lines) -> ``cells_dir`` (parquet, one folder per stream and batch).
+
+    Without ``checkpoint_location`` the stream state lies in the store under a name made of ``records_dir``, so
+    streams into several stores, or from several folders into one store, do not disturb each other.
+    """
     reader = spark.readStream.format("text").option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     lines = reader.load(records_dir)
+    store, stream = cells_dir.rstrip("/"), "s" + hashlib.sha256(records_dir.rstrip("/").encode()).hexdigest()[:16]
     pages = _pages_from_lines(lines)
     progs = programme_names
     names = entity_names
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         cells = PA.payload_cells(batch, progs, names)
-        cells.write.mode("overwrite").parquet(f"{cells_dir.rstrip('/')}/batch_id={batch_id}")
+        cells.write.mode("overwrite").parquet(f"{store}/stream={stream}/batch_id={batch_id}")
 
-    location = checkpoint_location or (ensure_checkpoint_dir(spark).rstrip("/") + "/streams/cell-ingest")
+    location = checkpoint_location or f"{store}/_checkpoints/{stream}"
     writer = pages.writeStream.foreachBatch(write_batch).option("checkpointLocation", location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
@@ -63,5 +69,5 @@ def start_cell_stream(
 
 def panel_from_cells(spark: SparkSession, cells_dir: str, spec: FunnelSpec = DEFAULT_SPEC, default_entity: str = "MC") -> DataFrame:
     """The panel as a function of every ingested cell (duplicate cells across batches are summed, P14)."""
-    cells = spark.read.parquet(cells_dir).drop("batch_id")
+    cells = spark.read.option("basePath", cells_dir).parquet(cells_dir).drop("stream", "batch_id")
     return PA.cells_to_panel(cells, spec, default_entity)

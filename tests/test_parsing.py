@@ -94,6 +94,15 @@ def test_nested_walk_and_reversed_nesting_give_same_cells(spark):
     ]
 
 
+@pytest.mark.parametrize("depth", [1, 7, 8, 25])
+def test_nested_walk_has_no_depth_limit(spark, depth):
+    wrapped, in_buckets = NESTED_A, {"status": {"buckets": [{"key": "applied", "doc_count": 4}]}}
+    for _ in range(depth):
+        wrapped, in_buckets = {"inner": wrapped}, {"level": {"buckets": [{"key": "x", **in_buckets}]}}
+    assert _cells(PA.nested_cells(_pages(spark, [wrapped]), _progs(spark))) == _cells(PA.nested_cells(_pages(spark, [NESTED_A]), _progs(spark)))
+    assert _cells(PA.nested_cells(_pages(spark, [in_buckets]), _progs(spark))) == [(None, None, None, "APP", 4)]
+
+
 def test_nested_empty_and_router(spark):
     flat_children_only = {"response": {"1": _node(i_applied_7=1)}}  # no parent totals: not recognised as flat
     pages = _pages(spark, [{}, NESTED_A, {"response": {"1": _node(i_applied_7=1), "applied_total": {"doc_count": 1}}},

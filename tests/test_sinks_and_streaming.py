@@ -76,3 +76,14 @@ def test_streaming_ingest_is_idempotent_per_batch(spark, tmp_path):
     q.awaitTermination()
     second = ST.panel_from_cells(spark, str(tmp_path / "cells")).collect()
     assert sorted((r["entity"], r["APP"]) for r in second) == [("office 1", 7), ("office 2", 3)]
+
+
+def test_streams_side_by_side_keep_their_own_state(spark, tmp_path):
+    progs = spark.createDataFrame([(7, "GV")], "programme_id int, product string")
+    schema = "month string, record_product string, page string"
+    for folder, page in (("a", _flat_page(1, 5)), ("b", _flat_page(2, 3))):
+        EN.write_envelope(spark.createDataFrame([page], schema), str(tmp_path / folder))
+    for folder, store in (("a", "one"), ("a", "two"), ("b", "two")):
+        ST.start_cell_stream(spark, str(tmp_path / folder), str(tmp_path / store), progs).awaitTermination()
+    one, two = ([(r["entity"], r["APP"]) for r in ST.panel_from_cells(spark, str(tmp_path / s)).orderBy("entity").collect()] for s in ("one", "two"))
+    assert one == [("office 1", 5)] and two == [("office 1", 5), ("office 2", 3)]
