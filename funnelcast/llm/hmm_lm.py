@@ -11,8 +11,8 @@ Texts become chunks of about ``chunk_bytes``, each one row: its distinct words,
 into them. Corpus counts are summed by word and carried back to the chunks that hold the word (one row
 per chunk and word, so a frequent word weighs one row a chunk). Training rounds and scoring are then
 maps over chunks; a round returns expected counts by class, summed before they reach the driver
-(CLASSES x states numbers). Every training document takes part in every one of the ``rounds``; ``warm_rounds``
-over ``warm_chunks`` chunks only give the first round its start.
+(CLASSES x states numbers). Every training document takes part in every one of the ``warm_rounds + rounds``
+rounds, whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -267,17 +267,15 @@ def prepare(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "
     return ready
 
 
-def train(ready: DataFrame, states: int = 8, rounds: int = 2, warm_rounds: int = 6, warm_chunks: int = 4, frequent_share: float = 2e-6, seed: int = 7) -> Model:
+def train(ready: DataFrame, states: int = 8, rounds: int = 2, warm_rounds: int = 6, frequent_share: float = 2e-6, seed: int = 7) -> Model:
     """Fit the model by Baum-Welch. Without training documents every state keeps the prior."""
     counts = ready.select("counts", "owner").mapInArrow(_corpus, "tokens bigint, distinct bigint").agg(F.sum("tokens"), F.sum("distinct")).first()
     tokens, distinct = int(counts[0] or 0), int(counts[1] or 0)
     threshold = max(5, int(frequent_share * tokens))
     sums = _sum_by_class(ready.select("classes", "counts", "owner").mapInArrow(_class_sums(threshold), "class bigint, v array<double>"), 1, CLASSES)[:, 0]
     model = Model(tokens, distinct, threshold, sums, states, seed)
-    few = [r[0] for r in ready.select("chunk").orderBy(F.xxhash64("chunk")).limit(warm_chunks).collect()]
-    part = ready.filter(F.col("chunk").isin(few)) if few else ready
-    for source in [part] * warm_rounds + [ready] * rounds:
-        expected = source.select("held", "lens", "codes", "classes", "counts").mapInArrow(_round(model), "class bigint, v array<double>")
+    for _ in range(warm_rounds + rounds):
+        expected = ready.select("held", "lens", "codes", "classes", "counts").mapInArrow(_round(model), "class bigint, v array<double>")
         model.update(_sum_by_class(expected, states, CLASSES + 1 + states))
     return model
 

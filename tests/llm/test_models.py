@@ -60,6 +60,13 @@ def test_language_model_counts_and_gain(documents, odd, none):
     assert hmm_lm.score(odd).count() == len(ODD) and hmm_lm.score(none).count() == 0
 
 
+def test_every_round_learns_from_every_chunk(documents):
+    ready = hmm_lm.prepare(documents.repartition(10, "doc_id"), F.lit(False))
+    assert ready.count() > 8
+    first, last = hmm_lm.train(ready, warm_rounds=1, rounds=0), hmm_lm.train(ready, warm_rounds=0, rounds=1)
+    assert np.allclose(first.emit, last.emit, rtol=1e-5) and np.allclose(first.move, last.move, rtol=1e-5)
+
+
 def test_hmm_is_a_distribution_over_known_and_unknown_words():
     sums = np.zeros(hmm_lm.CLASSES)
     sums[[3, 5, hmm_lm.END]] = [9.0, 4.0, 3.0]
