@@ -220,39 +220,75 @@ def train(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
     return model
 
 
-def _predict(model: Model):
+_LABELS = ("doc_id bigint, held_out boolean, n_words bigint, means array<struct<lang:string,mean:double>>, "
+           "runs array<struct<start:bigint,end:bigint,n_words:bigint,lang:string,probability:double>>")
+
+
+def _label(model: Model):
+    """Per document: mean marginal of each language, and its runs of words of one language."""
     k = len(model.langs)
+    langs = np.array([*model.langs, "und"], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs = np.array([*model.langs, "und"], object)
         for batch in batches:
             for a, b in words.slices(batch.column(3)):
                 part = batch.slice(a, b - a)
-                best, top = np.full(b - a, k), np.zeros(b - a)
                 buf, off = words.raw(part.column(3))
                 types, counts, hashes, features = word_types(buf, off)
+                starts, ends, _ = words.spans(buf, off)
+                doc = np.repeat(np.arange(b - a), counts)
+                best, top = np.full(len(types), k), np.zeros(len(types))
+                known, mean = np.zeros(b - a, bool), np.zeros((b - a, k))
                 if k and len(types):
                     prob = marginals(model, types, emissions(model, hashes, features), counts)
-                    doc = np.repeat(np.arange(b - a), counts)
                     mean = np.stack([np.bincount(doc, weights=prob[:, j], minlength=b - a) for j in range(k)], axis=1) / np.maximum(counts, 1)[:, None]
                     known = part.column(2).to_numpy(zero_copy_only=False).astype(bool) & (counts > 0)
-                    best = np.where(known, mean.argmax(axis=1), k)
-                    top = np.where(known, np.clip(mean.max(axis=1), 0, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs[best].tolist(), pa.string()), pa.array(top)],
-                                                 names=["doc_id", "held_out", "lang_pred", "score"])
+                    sure = known[doc]
+                    best = np.where(sure, prob.argmax(axis=1), k)
+                    top = np.where(sure, np.clip(prob.max(axis=1), 0, 1), 0.0)
+                new = np.ones(len(types), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (best[1:] != best[:-1])
+                at = np.flatnonzero(new)
+                size = np.diff(np.append(at, len(types)))
+                chars = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])  # characters before each byte
+                zero = chars[off[:-1]][doc[at]]
+                runs = pa.StructArray.from_arrays([
+                    pa.array(chars[starts[at]] - zero), pa.array(chars[ends[at + size - 1]] - zero), pa.array(size),
+                    pa.array(langs[best[at]].tolist(), pa.string()), pa.array((np.add.reduceat(top, at) if len(at) else top) / size),
+                ], names=["start", "end", "n_words", "lang", "probability"])
+                held = np.concatenate([[0], np.cumsum(np.bincount(doc[at], minlength=b - a))])
+                shares = pa.StructArray.from_arrays([pa.array(model.langs * int(known.sum()), pa.string()), pa.array(mean[known].ravel())], names=["lang", "mean"])
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), part.column(1), pa.array(counts.astype(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(known) * k]), pa.int32()), shares),
+                    pa.ListArray.from_arrays(pa.array(held, pa.int32()), runs),
+                ], names=["doc_id", "held_out", "n_words", "means", "runs"])
 
     return run
 
 
-def identify(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every whole text; learns from rows that are not held out.
+def label_words(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """(doc_id, held_out, n_words, means, runs) of every whole text; learns from rows that are not held out.
 
-    Null text or a text without a letter: ``und``, score 0. Without training rows all texts are ``und``.
-    Null lang: predicted, not learnt from. Null doc_id: not held out. Repeated rows: one result each.
+    ``runs`` are neighbouring words of one most probable language, in order and without gaps: first and end character
+    (from 0, end exclusive), words, language, mean probability. ``means`` has each language's mean marginal.
+    Null or empty text: no runs. A text without a letter, or no training rows: one run ``und`` of probability 0, no means.
+    Null lang: labelled, not learnt from. Null doc_id: not held out. Repeated rows: one result each.
     Empty table: no rows. Extra columns are ignored.
     """
     held_out = crc_is(id_col, 4, 2) if held_out is None else held_out
     model = train(docs, ~held_out, id_col, text_col, lang_col, **options)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), held_out.alias("held_out"), F.regexp_like(text, F.lit(r"\p{L}")).alias("letters"), text.alias("text"))
-    return rows.mapInArrow(_predict(model), "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(_label(model), _LABELS)
+
+
+def identify(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every whole text, from the means of :func:`label_words`.
+
+    Null text or a text without a letter: ``und``, score 0. Without training rows all texts are ``und``.
+    """
+    top = F.array_max("means.mean")
+    return label_words(docs, held_out, id_col, text_col, lang_col, **options).select(
+        "doc_id", "held_out", F.coalesce(F.get("means.lang", F.array_position("means.mean", top).cast("int") - 1), F.lit("und")).alias("lang_pred"),
+        F.coalesce(F.least(F.greatest(top, F.lit(0.0)), F.lit(1.0)), F.lit(0.0)).alias("score"))

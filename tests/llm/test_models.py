@@ -98,6 +98,26 @@ def test_languages_held_out_and_code_switched(spark, odd, none):
     assert {r.lang_pred for r in language.identify(odd, F.lit(True)).collect()} == {"und"}
 
 
+def test_code_switched_text_keeps_its_spans(spark, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    parts = {r.lang: " ".join(r.text.split()[:40]) for r in docs.filter("length(text) > 800").dropDuplicates(["lang"]).collect()}
+    a, b = sorted(parts)[:2]
+    text = f"  {parts[a]}\u2003é \n{parts[b]} "
+    mixed = spark.createDataFrame([(-5, text, None)], docs.schema)
+    row = language.label_words(docs.union(mixed)).filter("doc_id = -5").first()
+    assert row.n_words == len([w for w in text.translate({0x2003: "x"}).split()])
+    assert sum(r.n_words for r in row.runs) == row.n_words and {r.lang for r in row.runs} >= {a, b}
+    assert all(x.end < y.start and x.lang != y.lang for x, y in zip(row.runs, row.runs[1:]))
+    assert all(text[r.start : r.end] == text[r.start : r.end].strip(" \n") and 0 < r.probability <= 1 for r in row.runs)
+    middle, right = text.index("\n"), {a: 0, b: 0}
+    for r in row.runs:
+        for lang, lo, hi in ((a, 0, middle), (b, middle, len(text))):
+            right[lang] += (r.lang == lang) * max(0, min(r.end, hi) - max(r.start, lo))
+    assert right[a] > 0.8 * len(parts[a]) and right[b] > 0.8 * len(parts[b])
+    few = language.label_words(odd, F.lit(True)).collect()
+    assert len(few) == len(ODD) and all([r.lang for r in x.runs] == ["und"] * bool(x.n_words) and not x.means for x in few)
+
+
 def test_rules_compile_and_classify(spark, frame, odd, none):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = rule_classifier.classify(docs, labels).join(labels, "doc_id").filter("held_out").collect()
