@@ -11,7 +11,7 @@ of each holds ``tau + 1`` units of coverage, where
 
 The order: *known* tokens first (seen in one set; rare; frequent, cell by cell), then the others by
 hash. Known are the tokens in the lower KNOWN of the hash space, whose document frequencies are counted
-over all sets; for sets of less than SMALL tokens, all. A token of one set only makes no signature, so a
+over all sets; for sets of less than ``small()`` tokens, all. A token of one set only makes no signature, so a
 document with more than tau of them is done. Signatures carry a step of the set size: linked sets lie in
 equal or adjacent steps.
 
@@ -38,7 +38,7 @@ from .components import connected
 NGRAM = 4
 PERCENT = 85
 KNOWN = 0.3
-LARGE, SMALL = 100, 128  # sets of LARGE tokens or more are joined by known tokens, sets below SMALL by all
+LARGE, SMALL = 100, 128  # sets of LARGE tokens or more are joined by known tokens, sets below small() (SMALL at least) by all
 RARE = 16
 CELL = 3.0
 TILE_TOKENS = 2_000_000
@@ -67,6 +67,11 @@ def tau(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100
 
 
+def small(percent: int) -> int:
+    """Sets below this are joined by all tokens: more than any partner of a set below LARGE has."""
+    return max(SMALL, 100 * (LARGE - 1) // percent + 1)
+
+
 def size_step(n: int, percent: int) -> int:
     return int(math.log(n) / -math.log(percent / 100) + 1e-9)
 
@@ -85,7 +90,7 @@ def _views(s: np.ndarray, percent: int) -> list[dict]:
     if n * 100 // percent == n:  # so small that only equal sets link
         return []
     out = []
-    if n < SMALL:
+    if n < small(percent):
         out.append({"scheme": 0, "known": words.mix64(s).view(np.int64), "extra": s[:0].view(np.int64)})
     if n >= LARGE:
         k = int(np.searchsorted(s, np.uint64(int(KNOWN * 2**64))))
@@ -234,6 +239,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     component's ids are null. Repeated rows and equal sets link. Empty table: no rows. Extra columns are ignored.
     ``percent`` must be 60 to 99.
     """
+    if not 60 <= percent <= 99:
+        raise ValueError(f"percent must be 60 to 99, not {percent}")
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("row_hash"), text.alias("text"))
     both = materialise(rows.mapInArrow(_sets(percent, ngram), _SETS), "join-both")

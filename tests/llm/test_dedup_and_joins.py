@@ -120,6 +120,20 @@ def test_prefix_signatures_meet_for_all_linked_pairs():
             assert not marks[0] or marks[0] & marks[1], (n, miss)
 
 
+def test_linked_sets_of_any_size_share_a_scheme(frame):
+    tokens = np.sort(np.random.default_rng(6).integers(0, 2**63, 400, dtype=np.uint64) * np.uint64(2))
+    for percent in range(60, 100):
+        schemes = [{v["scheme"] for v in ngram_join._views(tokens[:n], percent)} for n in range(1, 401)]
+        for n in range(1, 200):
+            for m in range(n + 1, 100 * n // percent + 1):
+                assert schemes[n - 1] & schemes[m - 1], (percent, n, m)
+    w = [f"w{i}" for i in range(133)]
+    docs = frame([(1, " ".join(w[:102]), "en", "s"), (2, " ".join(w), "en", "s")])  # 99 and 130 shingles
+    assert {(r.n_shingles, r.component_id) for r in ngram_join.join(docs, percent=75).collect()} == {(99, 1), (130, 1)}
+    with pytest.raises(ValueError):
+        ngram_join.join(docs, percent=59)
+
+
 def test_near_dedup_keeps_one_of_each_component(frame, odd, none):
     rows = near_corpus(4, families=6, noise=5)
     docs = frame([(i, t, "en", "s") for i, t in rows])
