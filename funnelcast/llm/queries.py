@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_tree, exact_dedup, hmm_lm, host_rules, language, mixing, ngram_join, orc_tokens, packing, rule_classifier
+from . import chat_tree, exact_dedup, hmm_lm, host_rules, language, mixing, ngram_join, orc_tokens, packing, rule_classifier, sharding
 from .common import find_package, new_folder, table
 
 
@@ -58,9 +58,15 @@ def op10_token_combination_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op13_jump_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "shards")
+    schema = sharding.write_shards(table(spark, sf_dir, "documents"), path, 40)
+    return sharding.digest(sharding.read_shards(spark, path, schema))
+
+
 _PLAIN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_rule_ensemble, op2_pivotal_mixing, op3_chat_prefix_tree, op4_host_rules, op5_power_of_two_packing,
-                            op6_crf_language, op7_orc_token_ids, op8_grace_exact_dedup, op9_hidden_markov_lm, op10_token_combination_join)
+                            op6_crf_language, op7_orc_token_ids, op8_grace_exact_dedup, op9_hidden_markov_lm, op10_token_combination_join, op13_jump_hash_sharding)
 }
 
 
