@@ -867,10 +867,7 @@ register(
 SELECT {_SEL_OUT} FROM sel"""),
 )(lambda spark, sf: EV.model_selection(EV.backtest_metrics(_fleet_backtest(spark, sf), FLEET), FLEET))
 
-register(
-    "best_per_family",
-    None,
-)(lambda spark, sf: EV.best_per_family(EV.backtest_metrics(TR.backtest(_fleet_history(spark, sf, ())))))
+register("best_per_family", None)(lambda spark, sf: EV.best_per_family(_year_run(spark, sf, TR.CANDIDATES)["metrics"]))
 
 for _m, _key in (("naive_last", "fc_naive_last"), ("moving_average_3", "fc_moving_average_3"),
                  ("moving_average_6", "fc_moving_average_6"), ("seasonal_naive", "fc_seasonal_naive"),
@@ -944,7 +941,7 @@ def _year_run(spark, sf, models=_BASE):
     """The total-series train/select/forecast run, stage-checkpointed once per session and reused."""
     key = (folder_state(spark, sf), tuple(models))
     if key not in _RUNS:
-        _RUNS[key] = TR.forecast_year(panel(spark, sf), FORECAST_YEAR, models=models, checkpoint_stages=True)
+        _RUNS[key] = TR.forecast_year(panel(spark, sf), FORECAST_YEAR, models=models, checkpoint_stages=True, share_product=SHARE_PRODUCT)
     return _RUNS[key]
 
 
@@ -972,7 +969,8 @@ SELECT * EXCLUDE (share_of_year_pct), {O.r6('share_of_year_pct')} AS share_of_ye
 
 register("prediction_table", None)(lambda spark, sf: _year_run(spark, sf, TR.CANDIDATES)["table"])
 register("fleet_prediction_table", None)(
-    lambda spark, sf: TR.forecast_year(panel(spark, sf), FORECAST_YEAR, series_keys=FLEET, checkpoint_stages=True)["table"])
+    lambda spark, sf: TR.forecast_year(panel(spark, sf), FORECAST_YEAR, series_keys=FLEET, models=TR.FLEET_CANDIDATES,
+                                       checkpoint_stages=True, share_product=SHARE_PRODUCT)["table"])
 
 register(
     "prediction_summary",
@@ -1161,38 +1159,99 @@ def _build_panel(spark, sf):
 
 register("build_panel", O.with_panel(_PANEL_WITH_DIAG))(_build_panel)
 
-# ============================================================================ M6 - M11 (MLlib, pooled over the entity fleet)
+# ============================================================================ M6 - M11, F17: learners at every origin
 from funnelcast.operators import learners as LN  # noqa: E402
+from funnelcast.operators import origin_models as OM  # noqa: E402
 
-SLOW_QUERIES = {"fc_gbt"}  # 400 boosting rounds as Spark jobs; run by the checker, skipped by default in bench.py
-
+SLOW_QUERIES: set[str] = set()
 
-_MATRICES: dict = {}
+_LEARNER_ROWS: dict = {}
 
 
-def _matrix(spark, sf):
-    """The entity-fleet training matrix, checkpointed once per session (shared by every learner query)."""
-    key = folder_state(spark, sf)
-    if key not in _MATRICES:
-        _MATRICES[key] = materialize(FE.training_matrix(panel(spark, sf), series_keys=FLEET, share_product=SHARE_PRODUCT))
-    return _MATRICES[key]
+def _learner_rows(spark, sf, keys=()):
+    """Feature rows of the total series or the fleet, checkpointed once per session (shared by every learner query)."""
+    key = (folder_state(spark, sf), tuple(keys))
+    if key not in _LEARNER_ROWS:
+        _LEARNER_ROWS[key] = materialize(OM.learner_rows(panel(spark, sf), series_keys=keys, share_product=SHARE_PRODUCT))
+    return _LEARNER_ROWS[key]
 
 
-def _ml_forecast(spark, sf, name, params=None, horizon=12):
-    m = _matrix(spark, sf)
-    model = LN.fit(m, name, params)
-    hist = FC.history_series(panel(spark, sf), series_keys=FLEET).select(*FLEET, "date", "y")
-    return LN.recursive_forecast(model, panel(spark, sf), hist, FLEET, horizon, SHARE_PRODUCT, name)
+def _learner_forecast(spark, sf, *models, keys=FLEET, horizon=12):
+    rows = _learner_rows(spark, sf, keys)
+    return OM.recursive_forecast(OM.fit_origins(rows, keys, models, final_only=True), rows, _fleet_history(spark, sf, keys), keys, horizon)
 
 
-register("fc_linear", None)(lambda spark, sf: _ml_forecast(spark, sf, "linear_regression"))
-register("fc_ridge", None)(lambda spark, sf: _ml_forecast(spark, sf, "ridge"))
-register("fc_random_forest", None)(lambda spark, sf: _ml_forecast(spark, sf, "random_forest"))
-register("fc_gbt", None)(lambda spark, sf: _ml_forecast(spark, sf, "gradient_boosting"))
+for _key, _m in (("fc_linear", "linear_regression"), ("fc_ridge", "ridge"), ("fc_random_forest", "random_forest"), ("fc_gbt", "gradient_boosting"),
+                 ("fc_boosted_subsampled", "xgboost")):
+    register(_key, None)(lambda spark, sf, _mm=_m: _learner_forecast(spark, sf, _mm))
+register("recursive_forecast", None)(lambda spark, sf: _learner_forecast(spark, sf, *TR.LEARNERS, keys=()))
 register("feature_importance", None)(
-    lambda spark, sf: LN.feature_importance(LN.fit(_matrix(spark, sf), "random_forest")))
-register("backtest_learners", None)(
-    lambda spark, sf: LN.ml_backtest(_matrix(spark, sf), "linear_regression", FLEET, initial=24, step=12))
+    lambda spark, sf: LN.feature_importance(LN.fit(_pooled_matrix(spark, sf), "random_forest")))
+register("backtest_learners", None)(lambda spark, sf: _year_run(spark, sf, TR.CANDIDATES)["backtest"].where(F.col("model").isin(*TR.LEARNERS)))
+register("single_model_backtest", None)(
+    lambda spark, sf: EV.single_model_backtest(_year_run(spark, sf, TR.CANDIDATES)["backtest"], "ridge"))
+
+
+def _pooled_matrix(spark, sf):
+    return FE.training_matrix(panel(spark, sf), series_keys=FLEET, share_product=SHARE_PRODUCT)
+
+
+_ORIGIN_CTE = """n AS (SELECT CAST(max(rn) AS INTEGER) AS n FROM mx),
+o AS (SELECT origin, least(12, greatest(3, origin // 3)) AS warm
+      FROM (SELECT unnest(range(24, n + 1)) AS origin FROM n UNION SELECT n FROM n))"""
+
+register(
+    "learner_scaling",
+    O.with_panel(f"""{_matrix_cte(())},
+{_ORIGIN_CTE},
+l AS (SELECT rn, u.feature, u.x FROM (SELECT rn, unnest([{", ".join(
+        f"{{'feature': '{c}', 'x': CAST({c} AS DOUBLE)}}" for c in FE.FEATURE_COLUMNS)}]) AS u FROM mx)),
+c AS (SELECT origin, feature, x FROM o JOIN l ON rn <= origin AND rn > warm),
+m AS (SELECT origin, feature, coalesce(quantile_cont(x, 0.5), 0.0) AS median FROM c GROUP BY origin, feature),
+s AS (SELECT origin, feature, count(*) AS n_rows, any_value(median) AS median, avg(coalesce(x, median)) AS mean,
+             stddev_pop(coalesce(x, median)) AS sd FROM c JOIN m USING (origin, feature) GROUP BY origin, feature)
+SELECT model, CAST(origin AS INTEGER) AS origin, feature, n_rows, {O.r6('median')} AS median, {O.r6('mean')} + 0.0 AS mean,
+       {O.r6('CASE WHEN sd <= 1e-12 * abs(mean) THEN 1.0 ELSE sd END')} AS deviation, CAST(0.0 AS DOUBLE) AS gradient
+FROM s CROSS JOIN (VALUES ('linear_regression'), ('ridge')) v(model)"""),
+)(lambda spark, sf: OM.linear_audit(OM.fit_origins(rows := _learner_rows(spark, sf), models=("linear_regression", "ridge")), rows).withColumn(
+    "mean", F.round("mean", 6) + 0.0))
+
+
+def _ensemble_checks(spark, sf):
+    """Trees, importances and the forest's 1-step predictions against the range of their training rows, at every origin."""
+    run = _year_run(spark, sf, TR.CANDIDATES)
+    fits = run["fits"].learners.where(F.col("model").isin("random_forest", "gradient_boosting", "xgboost"))
+    whole = fits.groupBy("model", "origin").agg(F.max("n_train").cast("bigint").alias("n_train"), F.sum(F.size("roots")).alias("trees"))
+    total = OM.importances(fits).groupBy("model", "origin").agg(F.sum("importance").alias("importance_total"), F.min("importance").alias("_low"))
+    rows = run["fits"].rows.select("rn", "y")
+    first = F.least(F.lit(12), F.greatest(F.lit(3), F.floor(F.col("origin") / 3).cast("int"))) + 1
+    span = whole.where("model = 'random_forest'").select("model", "origin", F.explode(F.sequence(first, F.col("origin"))).alias("rn")).join(
+        rows, "rn").groupBy("model", "origin").agg(F.min("y").alias("_min"), F.max("y").alias("_max"))
+    p = run["backtest"].select("model", "origin", "y_pred")
+    inside = F.col("y_pred").between(F.col("_min") - 1e-6, F.col("_max") + 1e-6)
+    return whole.join(total, ["model", "origin"]).join(span.join(p, ["model", "origin"]), ["model", "origin"], "left").select(
+        "model", "origin", "n_train", "trees", "importance_total", (F.col("_low") >= 0).alias("none_negative"), inside.alias("in_training_range"))
+
+
+register(
+    "ensemble_checks",
+    O.with_panel(f"""{_matrix_cte(())},
+{_ORIGIN_CTE}
+SELECT model, CAST(origin AS INTEGER) AS origin, CAST(origin - warm AS BIGINT) AS n_train, CAST(trees AS BIGINT) AS trees, CAST(1.0 AS DOUBLE) AS importance_total,
+       TRUE AS none_negative, CASE WHEN model = 'random_forest' AND origin < n THEN TRUE END AS in_training_range
+FROM o CROSS JOIN n CROSS JOIN (VALUES ('random_forest', 500), ('gradient_boosting', 400), ('xgboost', 600)) v(model, trees)"""),
+)(_ensemble_checks)
+
+_FINE = ("entity", "product", "direction")
+register(
+    "candidate_status",
+    O.with_panel(f"""{_hist_state_sql(_FINE)},
+g AS (SELECT entity, product, direction, CAST(count(*) AS INTEGER) AS months, CAST(greatest(count(*) - 24, 0) AS INTEGER) AS origins FROM h GROUP BY ALL)
+SELECT model, entity, product, direction, months, origins, origins AS evaluated,
+       CASE WHEN origins < 12 THEN 'too_few_origins' ELSE 'ok' END AS status,
+       CASE WHEN origins < 12 THEN origins || ' origins from ' || months || ' months, 12 needed' END AS reason
+FROM g CROSS JOIN (VALUES {", ".join(f"('{m}')" for m in _BASE)}) v(model)"""),
+)(lambda spark, sf: TR.candidate_status(h := materialize(_fleet_history(spark, sf, _FINE)), FC.backtest_baselines(h, _FINE), _FINE, _BASE))
 
 # ============================================================================ I1 - I14
 from funnelcast.operators import findings as FI  # noqa: E402

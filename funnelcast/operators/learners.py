@@ -1,22 +1,12 @@
-"""MLlib forecasters pooled over a fleet (M6-M11) and the recursive multi-step forecast.
+"""One MLlib model pooled over a whole fleet of series, and its feature importances.
 
-One model is fitted on the training matrix of *all* series (pooled), inside a
-Spark ML ``Pipeline``: median ``Imputer`` -> ``VectorAssembler`` -> optional
-``StandardScaler`` -> estimator. Nothing is collected; fitting is distributed
-by MLlib.
+Unlike the per-series fits of :mod:`funnelcast.operators.origin_models`, a pooled model sees the training
+matrix of *all* series at once, fitted by MLlib's distributed learners inside a ``Pipeline``: median
+``Imputer`` -> ``VectorAssembler`` -> optional ``StandardScaler`` -> estimator. Nothing is collected.
 
-* ridge: sklearn minimises ``||y - Xw||^2 + alpha ||w||^2``; MLlib minimises
+* ridge: the source minimises ``||y - Xw||^2 + alpha ||w||^2``; MLlib minimises
   ``1/(2n) ||y - Xw||^2 + lambda/2 ||w||^2``, so ``lambda = alpha / n`` on
   features scaled by the pipeline (``standardization=False`` on the estimator).
-* The backtest is a walk-forward over origin *dates*: fit on matrix rows dated
-  <= origin, score the next month of every series. Features of a matrix row only
-  read earlier months, and operational context is the observed lagged row, so
-  the 1-step scores are out-of-sample (the source's D1/D2 defects are not copied).
-  Each origin is one fit — the loop runs over origins only, never over series.
-* The recursive forecast predicts one month for every series at once, appends
-  it, and recomputes the window features; operational inputs are frozen at the
-  series' trailing-12-month mean. Each step cuts lineage with a reliable
-  ``checkpoint`` in the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -24,26 +14,17 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from funnelcast.operators import features as FE
-from funnelcast.operators.evaluation import keyed_join
-from funnelcast.plans.materialize import materialize
+from funnelcast.operators.origin_models import LEARNERS
 
-# fixed values: candidate hyper-parameters of the source configuration
-MODEL_PARAMS = {
-    "linear_regression": {},
-    "ridge": {"alpha": 1.0},
-    "random_forest": {"n_estimators": 500, "max_depth": 6},
-    "gradient_boosting": {"n_estimators": 400, "max_depth": 3, "learning_rate": 0.05},
-    "xgboost": {"n_estimators": 600, "max_depth": 3, "learning_rate": 0.05, "subsample": 0.9},
-}
 SCALED = {"linear_regression", "ridge"}
 
 
 def _estimator(name: str, n_rows: int, params: dict | None = None, seed: int = 42):
-    p = {**MODEL_PARAMS[name], **(params or {})}
+    p = {**LEARNERS[name], **(params or {})}
     if name == "linear_regression":
         return LinearRegression(featuresCol="features", labelCol="y", regParam=0.0, standardization=False, solver="normal")
     if name == "ridge":
@@ -75,10 +56,6 @@ def fit(matrix: DataFrame, name: str, params: dict | None = None) -> PipelineMod
     return build_pipeline(name, n, params=params).fit(train)
 
 
-def _clip(df: DataFrame) -> DataFrame:
-    return df.withColumn("prediction", F.greatest(F.col("prediction"), F.lit(0.0)))
-
-
 # --------------------------------------------------------------------------- M11
 def feature_importance(model: PipelineModel, features=FE.FEATURE_COLUMNS) -> DataFrame:
     """Importances (trees) or absolute coefficients (linear), sorted descending."""
@@ -90,59 +67,3 @@ def feature_importance(model: PipelineModel, features=FE.FEATURE_COLUMNS) -> Dat
     session = SparkSession.getActiveSession()
     df = session.createDataFrame(list(zip(features, [float(v) for v in values])), "feature string, importance double")
     return df.orderBy(F.col("importance").desc(), F.col("feature"))
-
-
-# --------------------------------------------------------------------------- M14 for learners
-def ml_backtest(matrix: DataFrame, name: str, series_keys=(), initial: int = 24, step: int = 1,
-                params: dict | None = None) -> DataFrame:
-    """1-step walk-forward over origin dates (pooled fit per origin, every series scored).
-
-    Origins are the distinct month-grid positions ``initial, initial+step, ...`` of
-    the fleet calendar; the matrix already excludes each series' warm-up rows.
-    """
-    keys = list(series_keys or ())
-    # the calendar of origin dates is bounded by the number of months; it drives one fit per origin
-    dates = matrix.select("date").distinct()
-    cal = dates.withColumn("pos", F.row_number().over(Window.orderBy("date")))
-    # positions are counted on the history calendar: matrix rows start after the 12-month warm-up
-    origin_dates = [r[0] for r in cal.where((F.col("pos") + 12 >= initial) & (F.pmod(F.col("pos") + 12 - initial, F.lit(step)) == 0))
-                    .orderBy("date").select("date").collect()]
-    parts = []
-    for od in origin_dates[:-1]:
-        model = fit(matrix.where(F.col("date") <= F.lit(od)), name, params)
-        target = matrix.where(F.col("date") == F.add_months(F.lit(od), 1))
-        pred = _clip(model.transform(target)).select(
-            F.lit(name).alias("model"), *keys, F.lit(od).alias("origin_date"), "date", F.lit(1).alias("step"),
-            F.col("y").alias("y_true"), F.col("prediction").alias("y_pred"))
-        parts.append(materialize(pred))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-# --------------------------------------------------------------------------- M10
-def recursive_forecast(model: PipelineModel, panel: DataFrame, history: DataFrame, series_keys=(), horizon: int = 12,
-                       share_product: str = "GV", name: str = "model") -> DataFrame:
-    """Predict ``horizon`` months for every series, one month per step, feeding predictions back.
-
-    ``history``: dense ``(keys..., date, y)`` per series. Operational inputs for
-    future months are each series' trailing 12-month mean of the lagged frame.
-    """
-    keys = list(series_keys or ())
-    ops = FE.operational_features(panel, series_keys=keys, share_product=share_product)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("date").desc()))
-    frozen = ops.withColumn("_r", rank).where("_r <= 12").groupBy(*keys).agg(
-        *[F.avg(c).alias(c) for c in FE.OPERATIONAL_FEATURES])
-    work = materialize(history.select(*keys, "date", "y"))
-    ends = work.groupBy(*keys).agg(F.max("date").alias("_end"))
-    for _ in range(horizon):
-        last = work.groupBy(*keys).agg(F.max("date").alias("date"))
-        nxt = last.select(*keys, F.add_months("date", 1).alias("date"), F.lit(None).cast("double").alias("y"))
-        feats = FE.history_features(FE.time_features(work.unionByName(nxt), keys), keys)
-        target = keyed_join(feats.join(nxt.select(*keys, "date"), [*keys, "date"], "left_semi"), frozen, keys)
-        scored = _clip(model.transform(target)).select(*keys, "date", F.col("prediction").alias("y"))
-        work = materialize(work.unionByName(scored))  # one reliable checkpoint per step cuts the growing lineage
-    future = keyed_join(work, ends, keys).where(F.col("date") > F.col("_end"))
-    preds = future.withColumn("step", F.months_between("date", "_end").cast("int"))
-    return preds.select(*keys, "date", "step", F.lit(name).alias("model"), F.col("y").alias("y_pred"))

@@ -56,3 +56,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         current = tempfile.mkdtemp(prefix="funnelcast-ckpt-", dir="/tmp")
     sc.setCheckpointDir(current)
     return current
+
+
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did (on a cluster: install it or use ``--py-files``)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
