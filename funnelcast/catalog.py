@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from funnelcast import oracle as O
-from funnelcast.functions.columns import round_doubles
+from funnelcast.functions.columns import round_doubles, with_calendar
 from funnelcast.operators import reports as A
 from funnelcast.sources.tables import folder_state
 from funnelcast.sources.testpanel import build_test_panel
@@ -1014,6 +1014,7 @@ SELECT feature, {O.r6('correlation')} AS correlation, {O.r6('abs(correlation)')}
 import uuid  # noqa: E402
 
 from funnelcast.operators import parsing as PA  # noqa: E402
+from funnelcast.plans import analysis as AN  # noqa: E402
 from funnelcast.sources import envelope as EN  # noqa: E402
 from funnelcast.sources import payloads as PL  # noqa: E402
 from funnelcast.session import ensure_checkpoint_dir  # noqa: E402
@@ -1068,13 +1069,13 @@ register(
     O.with_panel(f"""c AS ({_CELLS_SQL} UNION ALL
   SELECT strftime(date, '%Y-%m'), entity, product, direction, 'APPROVAL_BROKEN', CAST(0 AS BIGINT) FROM panel)
 SELECT * FROM c"""),
-)(lambda spark, sf: PA.flat_cells(*_pages(spark, sf, "flat")).drop("record_product"))
+)(lambda spark, sf: PA.flat_cells(*_pages(spark, sf, "flat")).drop("record_product", "fault"))
 
 register(
     "parse_nested_buckets",
     O.with_panel(f"""c AS ({_CELLS_SQL})
 SELECT * FROM c"""),
-)(lambda spark, sf: (lambda pg, pr, of: PA.nested_cells(pg, pr))(*_pages(spark, sf, "entity_first")).drop("record_product"))
+)(lambda spark, sf: (lambda pg, pr, of: PA.nested_cells(pg, pr))(*_pages(spark, sf, "entity_first")).drop("record_product", "fault"))
 
 DEEP_LEVELS = 20  # wrappers around every page
 
@@ -1083,7 +1084,7 @@ def _deep_cells(spark, sf):
     """The nested pages, each inside ``DEEP_LEVELS`` objects."""
     pages, progs, _ = _pages(spark, sf, "entity_first")
     wrapped = F.concat(F.lit('{"wrapper": ' * DEEP_LEVELS), F.col("page"), F.lit("}" * DEEP_LEVELS))
-    return PA.nested_cells(pages.withColumn("page", wrapped), progs).drop("record_product")
+    return PA.nested_cells(pages.withColumn("page", wrapped), progs).drop("record_product", "fault")
 
 
 register("parse_deep_buckets", O.with_panel(f"c AS ({_CELLS_SQL})\nSELECT * FROM c"))(_deep_cells)
@@ -1132,21 +1133,64 @@ FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY 1""",
     PL.office_names(read_table(spark, sf, "nation", ["n_nationkey", "n_name"]))).groupBy("entity").agg(
     F.count(F.lit(1)).alias("customers")))
 
+def _landed(spark, sf):
+    """Flat pages written as an envelope whose offices divisible by 7 sent half of their page, and read back; with the names."""
+    pages, progs, offices = _pages(spark, sf, "flat")
+    office = F.regexp_extract("page", r'"response": \{"([0-9]+)"', 1).cast("bigint")
+    cut = F.when(office % 7 == 0, F.concat(F.lit('{"cut": "'), F.substring("page", 3, 12), F.lit('"} trailing'))).otherwise(F.col("page"))
+    root = ensure_checkpoint_dir(spark).rstrip("/") + f"/landed-{uuid.uuid4().hex}"
+    broken = pages.withColumn("page", cut)
+    lines = broken.select(F.concat(F.lit('{"source": "tables", "month": "'), "month", F.lit('", "version": 1, "pages": ['), "page", F.lit("]}")).alias("value"))
+    lines.write.text(f"{root}/records/version=1")
+    return EN.read_envelope(spark, root), progs, offices
+
+
+def _ingest_audit(spark, sf):
+    """Every window (month, office) of the orders' months against what could be parsed of the landed pages, all directions."""
+    pages, progs, offices = _landed(spark, sf)
+    pages = materialize(pages)
+    cells = materialize(PA.payload_cells(pages.where("page is not null"), progs, offices))
+    names = offices.select("entity").distinct()
+    expected = PA.month_windows(_orders_bounds(spark, sf)).select("month", F.explode(
+        names.select(F.array_sort(F.collect_set("entity"))).scalar()).alias("entity"))
+    return EN.ingest_audit(expected, cells, ("month", "entity"), PA.page_audit(pages, cells))
+
+
 register(
     "ingest_audit",
     O.with_panel("""b AS (SELECT CAST(min(o_orderdate) AS DATE) AS s, CAST(max(o_orderdate) AS DATE) AS e FROM orders),
 mw AS (SELECT strftime(CAST(unnest(generate_series(date_trunc('month', s), e, INTERVAL 1 MONTH)) AS DATE), '%Y-%m') AS month FROM b),
-ex AS (SELECT DISTINCT mw.month, p.product FROM mw CROSS JOIN (SELECT DISTINCT product FROM panel) p),
-got AS (SELECT DISTINCT strftime(date, '%Y-%m') AS month, product FROM panel WHERE direction = 'incoming'),
-j AS (SELECT ex.*, got.month IS NOT NULL AS ok FROM ex LEFT JOIN got ON ex.month = got.month AND ex.product = got.product)
+pg AS (SELECT DISTINCT strftime(date, '%Y-%m') AS month, entity, n_nationkey % 7 = 0 AS cut FROM panel JOIN nation ON n_name = entity),
+j AS (SELECT pg.month IS NOT NULL AS ok FROM (SELECT month, n_name AS entity FROM mw, nation) ex
+      LEFT JOIN (SELECT * FROM pg WHERE NOT cut) pg ON ex.month = pg.month AND ex.entity = pg.entity)
 SELECT count(*) AS windows_attempted, CAST(count_if(ok) AS BIGINT) AS windows_succeeded,
        CAST(count_if(NOT ok) AS BIGINT) AS windows_failed,
-       round(coalesce(CAST(count_if(ok) AS DOUBLE) / NULLIF(count(*), 0), 0.0), 6) AS success_rate FROM j"""),
-)(lambda spark, sf: EN.ingest_audit(
-    PA.month_windows(_orders_bounds(spark, sf)).select("month", F.explode(
-        panel(spark, sf).select(F.array_sort(F.collect_set("product"))).scalar()).alias("product")),
-    panel(spark, sf).where("direction = 'incoming'").select(F.date_format("date", "yyyy-MM").alias("month"), "product"),
-    ("month", "product")))
+       round(coalesce(CAST(count_if(ok) AS DOUBLE) / NULLIF(count(*), 0), 0.0), 6) AS success_rate,
+       (SELECT count(*) FROM pg) AS pages, (SELECT CAST(count_if(cut) AS BIGINT) FROM pg) AS malformed_pages, CAST(0 AS BIGINT) AS faulty_counts
+FROM j"""),
+)(_ingest_audit)
+
+register(
+    "page_quarantine",
+    O.with_panel("""SELECT CAST(NULL AS VARCHAR) AS month, 'not JSON' AS reason, count(DISTINCT (date, entity)) AS pages
+FROM panel JOIN nation ON n_name = entity WHERE n_nationkey % 7 = 0"""),
+)(lambda spark, sf: PA.quarantine(_landed(spark, sf)[0]).groupBy("month", "reason").agg(F.count(F.lit(1)).alias("pages")))
+
+register(
+    "drop_empty_cells",
+    O.with_panel(f"SELECT {_PANEL_COLS}, " + ", ".join(f"CAST(0 AS BIGINT) AS {d}" for d in _DIAG) + " FROM panel WHERE direction = 'incoming'"),
+)(lambda spark, sf: PA.cells_to_panel(panel(spark, sf).select(
+    F.date_format("date", "yyyy-MM").alias("month"), F.lit(None).cast("string").alias("record_product"), "entity", "product", "direction",
+    F.inline(F.array(*[F.struct(F.lit(s).alias("column"), F.when(F.col("direction") == "incoming", F.col(s)).otherwise(F.lit(0)).cast("bigint").alias("n"))
+                       for s in O.STAGES])))))
+
+register(
+    "calendar_columns",
+    """SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, CAST(year(o_orderdate) AS INTEGER) AS year,
+       CAST(month(o_orderdate) AS INTEGER) AS month, strftime(o_orderdate, '%b') AS month_name, CAST(quarter(o_orderdate) AS INTEGER) AS quarter
+FROM orders""",
+)(lambda spark, sf: with_calendar(read_table(spark, sf, "orders", ["o_orderdate"]).select(
+    F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("date")).distinct()).select("date", "year", "month", "month_name", "quarter"))
 
 
 def _build_panel(spark, sf):
@@ -1154,7 +1198,8 @@ def _build_panel(spark, sf):
     pages, progs, offices = _pages(spark, sf, "flat")
     root = ensure_checkpoint_dir(spark).rstrip("/") + f"/envelope-{uuid.uuid4().hex}"
     EN.write_envelope(pages, root, {"source": "tpch tables", "is_reference_data": False})
-    return PA.envelope_to_panel(EN.read_envelope(spark, root), progs, offices)
+    built, _ = AN.build_panel(EN.read_envelope(spark, root), progs, offices, strict=True)
+    return built
 
 
 register("build_panel", O.with_panel(_PANEL_WITH_DIAG))(_build_panel)

@@ -162,7 +162,7 @@ def history_features(series: DataFrame, series_keys=(), y: str = "y") -> DataFra
 # --------------------------------------------------------------------------- F11 - F15
 def operational_features(
     panel: DataFrame, spec: FunnelSpec = DEFAULT_SPEC, series_keys=(), share_direction: str = "outgoing",
-    share_product: str = "GV",
+    share_product: str | None = None,
 ) -> DataFrame:
     """Monthly operational context per series, already lagged one month (state entering month t).
 
@@ -177,7 +177,7 @@ def operational_features(
         F.sum(spec.realized).alias("_re"),
         F.sum("ACH" if "ACH" in spec.stages else spec.stages[1]).alias("_ach"),
         F.sum(F.when(F.col("direction") == share_direction, F.col(t)).otherwise(0)).alias("_dir"),
-        F.sum(F.when(F.col("product") == share_product, F.col(t)).otherwise(0)).alias("_prod"),
+        F.sum(F.when(F.col("product") == (share_product or spec.share_product), F.col(t)).otherwise(0)).alias("_prod"),
     )
     ent = panel.groupBy(*dict.fromkeys([*keys, "entity"]), "date").agg(F.sum(t).alias("_x"))
     share = F.col("_x") / F.nullif(F.sum("_x").over(Window.partitionBy(*keys, "date")), F.lit(0))
@@ -203,7 +203,7 @@ def operational_features(
 # --------------------------------------------------------------------------- F16
 def training_matrix(
     panel: DataFrame, spec: FunnelSpec = DEFAULT_SPEC, series_keys=(), min_history_months: int = 12,
-    share_product: str = "GV",
+    share_product: str | None = None,
 ) -> DataFrame:
     """``(keys..., date, y, 40 features)`` per series, warm-up rows dropped.
 

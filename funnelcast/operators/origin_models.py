@@ -53,7 +53,7 @@ def warm_up(origin: int) -> int:
     return min(12, max(3, origin // 3))
 
 
-def learner_rows(panel: DataFrame, spec: FunnelSpec = DEFAULT_SPEC, series_keys=(), share_product: str = "GV") -> DataFrame:
+def learner_rows(panel: DataFrame, spec: FunnelSpec = DEFAULT_SPEC, series_keys=(), share_product: str | None = None) -> DataFrame:
     """``(keys..., date, rn, y, features)``: the training matrix from the fourth month on, with the month's number."""
     keys = _keys(series_keys)
     matrix = FE.training_matrix(panel, spec, keys, min_history_months=3, share_product=share_product)

@@ -13,7 +13,9 @@ string or VARIANT. Two payload shapes are understood:
   collected; the only shuffle is the final cell aggregation.
 
 Both produce long cells ``(month, record_product, entity, product, direction,
-column, n)``; :func:`cells_to_panel` applies defaults, collapses duplicates,
+column, n, fault)``; ``fault`` says why a count that is present counts 0. Pages that cannot be read are
+never lost silently: :func:`quarantine` lists them and :func:`page_audit` counts pages, unreadable pages
+and faulty counts per record. :func:`cells_to_panel` applies defaults, collapses duplicates,
 drops empty cells and adds the calendar columns.
 """
 
@@ -34,7 +36,7 @@ from funnelcast.plans.materialize import materialize
 from funnelcast.sources.tables import bounded_broadcast
 from funnelcast.spec import DEFAULT_SPEC, FunnelSpec
 
-CELL_COLUMNS = ("month", "record_product", "entity", "product", "direction", "column", "n")
+CELL_COLUMNS = ("month", "record_product", "entity", "product", "direction", "column", "n", "fault")
 _LOOKUP_BOUND = 100_000  # id -> name dimensions (offices, programmes) are small vocabularies
 
 
@@ -63,10 +65,6 @@ def redact(text: Column, token: Column) -> Column:
 
 
 # --------------------------------------------------------------------------- helpers
-def _as_variant(c: Column) -> Column:
-    return F.try_parse_json(c) if c is not None else c
-
-
 def _obj(v: Column) -> Column:
     return F.try_variant_get(v, "$", "map<string,variant>")
 
@@ -79,11 +77,36 @@ def _str(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "string")
 
 
+def _integer(v: Column, path: str) -> tuple[Column, Column]:
+    """The value at ``path`` and its integer: numbers lose their fraction, strings must spell an integer; NULL if there is none."""
+    x = F.try_variant_get(v, path, "variant")
+    text = F.trim(F.try_variant_get(x, "$", "string"))
+    spelled = F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint"))
+    real = F.try_variant_get(x, "$", "double")
+    number = F.coalesce(F.try_variant_get(x, "$", "bigint"), F.when(F.abs(real) < float(1 << 63), real.try_cast("bigint")))
+    return x, F.when(F.schema_of_variant(x) == "STRING", spelled).otherwise(number)
+
+
 def _count(v: Column, path: str = "$.doc_count") -> Column:
     """Tolerant integer: malformed or missing -> 0."""
-    as_long = F.try_variant_get(v, path, "bigint")
-    as_double = F.try_variant_get(v, path, "double").try_cast("bigint")
-    return F.coalesce(as_long, as_double, F.lit(0).cast("bigint"))
+    return F.coalesce(_integer(v, path)[1], F.lit(0).cast("bigint"))
+
+
+def _count_fault(v: Column, path: str = "$.doc_count") -> Column:
+    """Why a count that is there is not counted, else NULL."""
+    x, n = _integer(v, path)
+    return F.when(x.isNotNull() & ~F.is_variant_null(x) & n.isNull(), F.lit("no integer of 64 bits"))
+
+
+def _id(text: Column) -> Column:
+    """A numeric id as text without leading zeros (ids may exceed any integer type); NULL for anything else."""
+    plain = F.regexp_replace(F.trim(text), "^[+]?0*(?=[0-9])", "")
+    return F.when(plain.rlike("^-?[0-9]+$"), plain)
+
+
+def _names(programme_names: DataFrame) -> DataFrame:
+    by_id = programme_names.groupBy(F.col("programme_id").cast("string").alias("programme_id"))
+    return bounded_broadcast(by_id.agg(F.max("product").alias("_pname")), _LOOKUP_BOUND)
 
 
 def with_variant_page(pages: DataFrame, page: str = "page") -> DataFrame:
@@ -91,10 +114,41 @@ def with_variant_page(pages: DataFrame, page: str = "page") -> DataFrame:
     return pages if dt == "variant" else pages.withColumn(page, F.try_parse_json(F.col(page)))
 
 
+def _body(page: Column) -> Column:
+    """Entries of ``response`` where the page has one, else of the page; NULL where that is no object."""
+    response = F.try_variant_get(page, "$.response", "variant")
+    return F.when(response.isNotNull(), _obj(response)).otherwise(_obj(page))
+
+
+# --------------------------------------------------------------------------- pages that cannot be read
+def page_fault(page: Column) -> Column:
+    """Why a VARIANT page cannot be read (NULL if it can)."""
+    return F.when(page.isNull(), "not JSON").when(_obj(page).isNull() & _arr(page).isNull(), "neither object nor list")
+
+
+def quarantine(pages: DataFrame) -> DataFrame:
+    """``(month, record_product, reason, raw)`` of the pages that cannot be read; ``raw`` is their text as far as it is known."""
+    raw = F.col("page") if dict(pages.dtypes)["page"] == "string" else F.to_json("page")
+    p = with_variant_page(pages.withColumn("raw", raw)).withColumn("reason", page_fault(F.col("page")))
+    return p.where(F.col("reason").isNotNull()).select("month", "record_product", "reason", "raw")
+
+
+def page_audit(pages: DataFrame, cells: DataFrame) -> DataFrame:
+    """Per (month, record_product): pages, unreadable pages, cells and faulty counts."""
+    keys = ["month", "record_product"]
+    p = with_variant_page(pages).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("pages"), F.count(page_fault(F.col("page"))).alias("malformed_pages"))
+    c = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cells"), F.count("fault").alias("_faulty"))
+    same = [p[k].eqNullSafe(c[k]) for k in keys]
+    return p.join(c, same[0] & same[1], "left").select(
+        p["month"], p["record_product"], "pages", "malformed_pages", F.coalesce("_cells", F.lit(0)).alias("cells"),
+        F.coalesce("_faulty", F.lit(0)).alias("faulty_counts"))
+
+
 # --------------------------------------------------------------------------- P7
 def is_flat_payload(page: Column) -> Column:
-    """Shape router: the body (``response`` or the page itself) has ``applied_total`` or a cell-shaped key."""
-    body = F.coalesce(_obj(F.try_variant_get(page, "$.response", "variant")), _obj(page))
+    """Shape router: the body (``response``, or the page where it has none) has ``applied_total`` or a cell-shaped key."""
+    body = _body(page)
     keys = F.map_keys(body)
     return F.coalesce(
         F.map_contains_key(body, F.lit(vocab.FLAT_ENTITY_MARKER))
@@ -107,14 +161,12 @@ def is_flat_payload(page: Column) -> Column:
 def flat_cells(pages: DataFrame, programme_names: DataFrame, entity_names: DataFrame | None = None) -> DataFrame:
     """Cells of flat pages: child office nodes only, ``<i|o>_<status>_<id>`` keys, doc_count measure.
 
-    ``programme_names``: (programme_id INT, product STRING); unknown id -> ``programme_<id>``.
+    ``programme_names``: (programme_id, product STRING); unknown id, of any size -> ``programme_<id>``.
     ``entity_names``: (office_id STRING, entity STRING); unknown -> ``office <id>``.
     Statuses map to stages or diagnostic columns; unknown statuses are skipped.
     """
     p = with_variant_page(pages)
-    resp = F.try_variant_get(F.col("page"), "$.response", "variant")
-    body = F.when(resp.isNotNull(), _obj(resp)).otherwise(_obj(F.col("page")))
-    offices = p.select("month", "record_product", F.explode(body).alias("office_id", "node"))
+    offices = p.select("month", "record_product", F.explode(_body(F.col("page"))).alias("office_id", "node"))
     node_map = _obj(F.col("node"))
     offices = offices.where(
         F.col("office_id").rlike("^[0-9]+$") & F.coalesce(F.map_contains_key(node_map, F.lit(vocab.FLAT_ENTITY_MARKER)), F.lit(False))
@@ -125,12 +177,12 @@ def flat_cells(pages: DataFrame, programme_names: DataFrame, entity_names: DataF
         "record_product",
         "office_id",
         normalise_direction(F.regexp_extract("metric", pat, 1)).alias("direction"),
-        F.regexp_extract("metric", pat, 3).try_cast("int").alias("programme_id"),
+        _id(F.regexp_extract("metric", pat, 3)).alias("programme_id"),
         column_of_status(F.regexp_extract("metric", pat, 2)).alias("column"),
         _count(F.col("m")).alias("n"),
+        _count_fault(F.col("m")).alias("fault"),
     ).where(F.col("column").isNotNull())
-    progs = bounded_broadcast(programme_names.groupBy("programme_id").agg(F.max("product").alias("_pname")), _LOOKUP_BOUND)
-    cells = cells.join(progs, "programme_id", "left")
+    cells = cells.join(_names(programme_names), "programme_id", "left")
     entity = F.concat(F.lit("office "), F.col("office_id"))
     if entity_names is not None:
         ents = bounded_broadcast(entity_names.groupBy(F.col("office_id").cast("string").alias("office_id")).agg(
@@ -139,8 +191,8 @@ def flat_cells(pages: DataFrame, programme_names: DataFrame, entity_names: DataF
         entity = F.coalesce(F.nullif(F.col("_ename"), F.lit("")), entity)
     return cells.select(
         "month", "record_product", entity.alias("entity"),
-        F.coalesce(F.col("_pname"), F.concat(F.lit("programme_"), F.col("programme_id").cast("string"))).alias("product"),
-        "direction", "column", "n",
+        F.coalesce(F.col("_pname"), F.concat(F.lit("programme_"), F.col("programme_id"))).alias("product"),
+        "direction", "column", "n", "fault",
     )
 
 
@@ -149,25 +201,23 @@ def flat_open_openings(pages: DataFrame, programme_names: DataFrame) -> DataFram
     """Open seats per (product, direction) from top-level ``open_<i|o>_programme_<id>`` nodes:
     ``total_openings.value`` (or a scalar ``total_openings``) else ``doc_count``."""
     p = with_variant_page(pages)
-    resp = F.try_variant_get(F.col("page"), "$.response", "variant")
-    body = F.when(resp.isNotNull(), _obj(resp)).otherwise(_obj(F.col("page")))
     pat = vocab.FLAT_OPEN_PATTERN
-    e = p.select("month", F.explode(body).alias("k", "node")).where(
+    e = p.select("month", F.explode(_body(F.col("page"))).alias("k", "node")).where(
         F.col("k").rlike(pat) & _obj(F.col("node")).isNotNull()
     )
     seats = F.coalesce(F.try_variant_get("node", "$.total_openings.value", "variant"),
                        F.try_variant_get("node", "$.total_openings", "variant"))
     value = F.when(seats.isNotNull() & ~F.is_variant_null(seats),
-                   F.coalesce(F.try_variant_get(seats, "$", "bigint"), F.lit(0).cast("bigint"))).otherwise(_count(F.col("node")))
+                   _count(seats, "$")).otherwise(_count(F.col("node")))
     rows = e.select(
         "month",
         F.coalesce(normalise_direction(F.regexp_extract("k", pat, 1)), F.lit("unknown")).alias("direction"),
-        F.regexp_extract("k", pat, 2).try_cast("int").alias("programme_id"),
+        F.regexp_extract("k", pat, 2).alias("_raw_id"),
+        _id(F.regexp_extract("k", pat, 2)).alias("programme_id"),
         value.alias("open"),
     )
-    progs = bounded_broadcast(programme_names.groupBy("programme_id").agg(F.max("product").alias("_pname")), _LOOKUP_BOUND)
-    rows = rows.join(progs, "programme_id", "left").withColumn(
-        "product", F.coalesce(F.col("_pname"), F.concat(F.lit("programme_"), F.col("programme_id").cast("string")))
+    rows = rows.join(_names(programme_names), "programme_id", "left").withColumn(
+        "product", F.coalesce(F.col("_pname"), F.concat(F.lit("programme_"), F.col("_raw_id")))
     )
     return rows.groupBy("month", "product", "direction").agg(F.sum("open").cast("bigint").alias("open_openings"))
 
@@ -197,7 +247,7 @@ def nested_cells(pages: DataFrame, programme_names: DataFrame | None = None, lev
     ctx = ["month", "record_product", "entity", "pkey", "plabel", "direction"]
     front = p.select("month", "record_product", null_s.alias("entity"), null_s.alias("pkey"), null_s.alias("plabel"),
                      null_s.alias("direction"), F.lit("node").alias("kind"), F.col("page").alias("v"),
-                     null_s.alias("column"), F.lit(None).cast("bigint").alias("n"))
+                     null_s.alias("column"))
     empty_items = F.array().cast(f"array<{_ITEM}>")
 
     def item(kind, dim, v):
@@ -221,11 +271,11 @@ def nested_cells(pages: DataFrame, programme_names: DataFrame | None = None, lev
         )
         children = F.when(F.col("kind") == "cell", F.array(item(F.lit("cell"), null_s, v))).otherwise(F.concat(elems, entries))
         # 1) children of every node (cells pass through); scalars are dropped inside the array
-        a = front.select(*ctx, "column", "n", F.explode(F.filter(children, lambda c: c["kind"] != "skip")).alias("c"))
+        a = front.select(*ctx, "column", F.explode(F.filter(children, lambda c: c["kind"] != "skip")).alias("c"))
         # 2) a "bk" child fans out into its buckets (non-object buckets dropped inside the array)
         buckets = F.filter(F.try_variant_get(F.col("c.v"), "$.buckets", "array<variant>"), lambda x: _obj(x).isNotNull())
         fan = F.when(F.col("c.kind") == "bk", buckets).otherwise(F.array(F.col("c.v")))
-        b = a.select(*ctx, "column", "n", F.col("c.kind").alias("kind0"), F.col("c.dim").alias("dim"), F.explode(fan).alias("v"))
+        b = a.select(*ctx, "column", F.col("c.kind").alias("kind0"), F.col("c.dim").alias("dim"), F.explode(fan).alias("v"))
         # 3) classify buckets: leaf (emit a cell, keep walking it) or dimension (widen the context)
         key = F.coalesce(_str(F.col("v"), "$.key"), F.lit("None"))
         label = F.coalesce(F.nullif(_str(F.col("v"), "$.key_as_string"), F.lit("")),
@@ -246,13 +296,13 @@ def nested_cells(pages: DataFrame, programme_names: DataFrame | None = None, lev
             F.when(dir_dim, F.coalesce(normalise_direction(key), normalise_direction(label))).otherwise(F.col("direction")).alias("direction"),
         ]
 
-        def row(cols, kind, column, n):
-            return F.struct(*cols, kind.alias("kind"), F.col("v").alias("v"), column.alias("column"), n.alias("n"))
+        def row(cols, kind, column=null_s, v=F.col("v")):
+            return F.struct(*cols, kind.alias("kind"), v.alias("v"), column.alias("column"))
 
-        cell = row(same, F.lit("cell"), stage, _count(F.col("v")))
-        walk_same = row(same, F.lit("node"), null_s, F.lit(None).cast("bigint"))
-        walk_wide = row(widened, F.lit("node"), null_s, F.lit(None).cast("bigint"))
-        passthru = row(same, F.col("kind0"), F.col("column"), F.col("n"))
+        cell = row(same, F.lit("cell"), stage, F.try_variant_get("v", "$.doc_count", "variant"))  # counted after the walk
+        walk_same = row(same, F.lit("node"))
+        walk_wide = row(widened, F.lit("node"))
+        passthru = row(same, F.col("kind0"), F.col("column"))
         out = F.when(leaf, F.array(cell, walk_same)).when(is_bk, F.array(walk_wide)).otherwise(F.array(passthru))
         return b.select(F.inline(out))
 
@@ -260,8 +310,8 @@ def nested_cells(pages: DataFrame, programme_names: DataFrame | None = None, lev
     while True:
         for _ in range(levels):
             front = step(front)
-        walked = materialize(front.withColumn("v", F.when(F.col("kind") != "cell", F.col("v"))))
-        found = walked.where(F.col("kind") == "cell")
+        walked = materialize(front)
+        found = walked.where(F.col("kind") == "cell").withColumns({"n": _count(F.col("v"), "$"), "fault": _count_fault(F.col("v"), "$")})
         cells = found if cells is None else cells.unionByName(found)
         front = walked.where(F.col("kind") != "cell")
         if front.isEmpty():
@@ -269,20 +319,19 @@ def nested_cells(pages: DataFrame, programme_names: DataFrame | None = None, lev
     if programme_names is None:
         spark = pages.sparkSession
         programme_names = spark.createDataFrame(sorted(vocab.PROGRAMME_NAMES.items()), "programme_id int, product string")
-    progs = bounded_broadcast(programme_names.groupBy("programme_id").agg(F.max("product").alias("_pname")), _LOOKUP_BOUND)
-    out = cells.withColumn("programme_id", F.col("pkey").try_cast("int")).join(progs, "programme_id", "left")
+    out = cells.withColumn("programme_id", _id(F.col("pkey"))).join(_names(programme_names), "programme_id", "left")
     product = F.when(F.col("programme_id").isNotNull(), F.coalesce(F.col("_pname"), F.col("plabel"))).otherwise(F.col("plabel"))
-    return out.select("month", "record_product", "entity", product.alias("product"), "direction", "column", "n")
+    return out.select("month", "record_product", "entity", product.alias("product"), "direction", "column", "n", "fault")
 
 
 # --------------------------------------------------------------------------- P13 - P16
-def cells_to_panel(cells: DataFrame, spec: FunnelSpec = DEFAULT_SPEC, default_entity: str = "MC",
+def cells_to_panel(cells: DataFrame, spec: FunnelSpec = DEFAULT_SPEC, default_entity: str | None = None,
                    diagnostics=vocab.DIAGNOSTIC_COLUMNS) -> DataFrame:
     """Defaults, duplicate collapse (P14), long -> wide with zero fill, empty-cell filter (P15), calendar."""
     values = list(spec.stages) + list(diagnostics)
     filled = cells.select(
         F.to_date(F.concat(F.col("month"), F.lit("-01"))).alias("date"),
-        F.coalesce(F.nullif(F.col("entity"), F.lit("")), F.lit(default_entity)).alias("entity"),
+        F.coalesce(F.nullif(F.col("entity"), F.lit("")), F.lit(default_entity or spec.default_entity)).alias("entity"),
         F.coalesce(F.nullif(F.col("product"), F.lit("")), F.nullif(F.col("record_product"), F.lit("")), F.lit("UNKNOWN")).alias("product"),
         F.coalesce(F.nullif(F.col("direction"), F.lit("")), F.lit("unknown")).alias("direction"),
         "column", "n",
@@ -296,7 +345,7 @@ def cells_to_panel(cells: DataFrame, spec: FunnelSpec = DEFAULT_SPEC, default_en
 
 
 def envelope_to_panel(pages: DataFrame, programme_names: DataFrame, entity_names: DataFrame | None = None,
-                      spec: FunnelSpec = DEFAULT_SPEC, default_entity: str = "MC") -> DataFrame:
+                      spec: FunnelSpec = DEFAULT_SPEC, default_entity: str | None = None) -> DataFrame:
     """Pages of an envelope -> panel (routing, both parsers, defaults, collapse, filter, calendar)."""
     return cells_to_panel(payload_cells(pages, programme_names, entity_names), spec, default_entity)
 
@@ -304,17 +353,16 @@ def envelope_to_panel(pages: DataFrame, programme_names: DataFrame, entity_names
 def payload_cells(pages: DataFrame, programme_names: DataFrame, entity_names: DataFrame | None = None) -> DataFrame:
     """P7 routing: flat pages to :func:`flat_cells`, the rest to :func:`nested_cells`.
 
-    A branch the router sends no page to is not planned at all (one cheap
-    ``isEmpty`` probe per shape), so an all-flat envelope does not pay for planning
-    and running the nested walk.
+    Pages are parsed and routed once (checkpointed). A branch the router sends no page to is not planned at all,
+    so an all-flat envelope does not pay for planning and running the nested walk.
     """
-    p = with_variant_page(pages).withColumn("_flat", is_flat_payload(F.col("page")))
-    flat_pages = p.where("_flat").drop("_flat")
-    nested_pages = p.where(~F.col("_flat")).drop("_flat")
+    p = materialize(with_variant_page(pages).withColumn("_flat", is_flat_payload(F.col("page"))).select("month", "record_product", "page", "_flat"))
+    flat_pages, nested_pages = p.where("_flat").drop("_flat"), p.where(~F.col("_flat")).drop("_flat")
+    shapes = {r["_flat"] for r in p.select("_flat").distinct().collect()}  # two rows at most
     parts = []
-    if not flat_pages.isEmpty():
+    if True in shapes:
         parts.append(flat_cells(flat_pages, programme_names, entity_names))
-    if not nested_pages.isEmpty():
+    if False in shapes:
         parts.append(nested_cells(nested_pages, programme_names))
     if not parts:
         return flat_cells(flat_pages, programme_names, entity_names)  # empty, with the cell schema

@@ -197,7 +197,7 @@ def funnel_overall(panel: DataFrame, spec: FunnelSpec = DEFAULT_SPEC) -> DataFra
 def funnel_by_dimension(panel: DataFrame, dimension: str, spec: FunnelSpec = DEFAULT_SPEC) -> DataFrame:
     """Stage totals and step / end-to-end rates per value of ``dimension``."""
     if dimension not in panel.columns:
-        raise KeyError(f"'{dimension}' is not a column of the dataset")
+        raise KeyError(f"no dimension {dimension!r} in the panel; it has {', '.join(panel.columns)}")
     stages = list(spec.stages)
     grouped = panel.groupBy(dimension).agg(*_stage_sums(spec))
     rates = {f"conv_{a}_to_{b}_pct": pct(b, a) for a, b in zip(stages, stages[1:])}
@@ -310,10 +310,13 @@ def contribution_matrix(panel: DataFrame, spec: FunnelSpec = DEFAULT_SPEC) -> Da
 def year_overlay(panel: DataFrame, spec: FunnelSpec = DEFAULT_SPEC, years=None) -> DataFrame:
     """Calendar month x year of the target, one column per year (for overlaid yearly curves).
 
-    ``years`` may be given; otherwise the distinct years are read from the panel
-    (a bounded list: one value per calendar year).
+    ``years`` may be given, then a row of any other year is an error; otherwise the distinct
+    years are read from the panel (a bounded list: one value per calendar year).
     """
     t = spec.target
+    if years is not None:
+        outside = F.raise_error(F.concat(F.lit("a year outside the overlay: "), F.col("year").cast("string")))
+        panel = panel.withColumn("year", F.when(F.col("year").isin(*years), F.col("year")).otherwise(outside.cast("int")))
     monthly = panel.groupBy("year", "month").agg(F.sum(t).cast("bigint").alias("y"))
     pivoted = monthly.groupBy("month").pivot("year", list(years) if years is not None else None)
     return pivoted.agg(F.first("y")).orderBy("month")

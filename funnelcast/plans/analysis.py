@@ -41,8 +41,11 @@ def build_panel(pages: DataFrame, programme_names: DataFrame, entity_names: Data
                 strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """Pages -> panel (checkpointed) -> validation report; ``strict`` raises on blocking errors.
 
-    Zero parsed rows is an error, as in the source.
+    Zero records, like zero parsed rows, is an error, as in the source. Unreadable pages are left to
+    :func:`funnelcast.operators.parsing.quarantine`.
     """
+    if pages.isEmpty():
+        raise ValueError("No records: there is nothing to parse.")
     panel = materialize(PA.envelope_to_panel(pages, programme_names, entity_names, spec))
     if panel.isEmpty():
         raise ValueError("Parsed zero rows from the pages; check the status vocabulary against a sample page.")

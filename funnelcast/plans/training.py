@@ -112,7 +112,7 @@ def _identity(df: DataFrame) -> DataFrame:
 
 def train_and_select(panel: DataFrame, spec: FunnelSpec = DEFAULT_SPEC, series_keys=(), models=CANDIDATES,
                      initial: int = 24, step: int = 1, horizon: int = 1, checkpoint_stages: bool = False,
-                     share_product: str = "GV", min_points: int = 12) -> dict[str, DataFrame]:
+                     share_product: str | None = None, min_points: int = 12) -> dict[str, DataFrame]:
     """History -> backtest -> metrics -> selection (lazy frames; nothing collected).
 
     ``status`` has a row for every series and candidate; only series that offer ``min_points`` origins are selected for.
@@ -144,7 +144,7 @@ def train_and_select(panel: DataFrame, spec: FunnelSpec = DEFAULT_SPEC, series_k
 
 
 def forecast_year(panel: DataFrame, year: int, spec: FunnelSpec = DEFAULT_SPEC, series_keys=(), models=CANDIDATES,
-                  horizon: int = 12, initial: int = 24, checkpoint_stages: bool = False, share_product: str = "GV") -> dict[str, DataFrame]:
+                  horizon: int = 12, initial: int = 24, checkpoint_stages: bool = False, share_product: str | None = None) -> dict[str, DataFrame]:
     """Forecast each series' selected model far enough to cover ``year``; label and tabulate."""
     keys = list(series_keys or ())
     cut = materialize if checkpoint_stages else _identity

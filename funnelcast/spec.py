@@ -20,6 +20,8 @@ class FunnelSpec:
     realized: str = "RE"
     completed: str = "CO"
     diagnostics: tuple = ()
+    default_entity: str = "MC"  # entity of cells that name none
+    share_product: str = "GV"  # product whose share of the target is a feature
     low_quantile: float = 0.25
     high_quantile: float = 0.75
 
