@@ -1303,6 +1303,42 @@ from funnelcast.operators import findings as FI  # noqa: E402
 
 register("findings", None)(
     lambda spark, sf: FI.generate_findings(panel(spark, sf), _year_run(spark, sf, TR.CANDIDATES)))
+
+
+def _fact_sql(order_no: int, finding: str, sql: str, subject: str, value: str, base: str, unit: str, where: str = "") -> str:
+    return (f"SELECT CAST({order_no} AS INTEGER) AS order_no, '{finding}' AS finding, CAST({subject} AS VARCHAR) AS subject, "
+            f"round(CAST({value} AS DOUBLE), 6) AS value, round(CAST({base} AS DOUBLE), 6) AS base, '{unit}' AS unit FROM ({sql}) x {where}")
+
+
+_HISTORY_FACTS = [
+    _fact_sql(5, "latest_growth", ORACLE["latest_growth"], "latest_year", "growth_pct", "previous_total", "percent"),
+    _fact_sql(6, "cagr", ORACLE["cagr"], "first_year || '-' || last_year", "cagr_pct", "first_total", "percent"),
+    _fact_sql(7, "peak_season", ORACLE["peak_season_run"], "start_month || '-' || end_month", "peak_index", "run_length", "index"),
+    _fact_sql(8, "weakest_month", ORACLE["trough_ratio"], "weakest_month", "weakest_index", "peak_trough_ratio", "index"),
+    _fact_sql(9, "bottleneck", ORACLE["funnel_bottleneck"], "from_stage || '-' || to_stage", "dropoff_pct", "from_count", "percent"),
+    _fact_sql(10, "efficiency", ORACLE["funnel_efficiency"], "'end_to_end'", "end_to_end_pct", "applications", "percent"),
+    _fact_sql(11, "concentration", ORACLE["topn_share"], "leader", "top5_share_pct", "n_entities", "percent", "WHERE n_entities >= 3"),
+    _fact_sql(12, "fastest_growing", ORACLE["fastest_growing"], "entity", "growth_pct", "mc_share_pct", "percent"),
+    _fact_sql(13, "programmes", ORACLE["programme_leaders"], "dominant_programme", "dominant_share_pct", "dominant_app_to_re_pct", "percent"),
+]
+_YEAR_FACTS_SQL = O.with_panel(f"""{_year_sql()},
+ly AS (SELECT year, sum(APP) AS t FROM panel GROUP BY year ORDER BY year DESC LIMIT 1)
+SELECT arg_min("Month", -"Predicted Applications" * 100 + month_number) AS peak, max("Predicted Applications") AS peak_value,
+       arg_min(share_of_year_pct, -"Predicted Applications" * 100 + month_number) AS peak_share,
+       arg_min("Month", "Predicted Applications" * 100 + month_number) AS trough, min("Predicted Applications") AS trough_value,
+       count_if("Activity Level" = 'High') AS high, count_if("Activity Level" = 'Low') AS low,
+       coalesce(sum(CASE WHEN "Activity Level" = 'High' THEN share_of_year_pct END), 0.0) AS high_share,
+       sum("Predicted Applications") AS total, {FORECAST_YEAR} AS fc_year, (SELECT t FROM ly) AS last_total FROM tab2""")
+_YEAR_FACTS = [
+    _fact_sql(1, "forecast_peak", _YEAR_FACTS_SQL, "peak", "peak_value", "peak_share", "applications"),
+    _fact_sql(2, "forecast_high_months", _YEAR_FACTS_SQL, "fc_year", "high_share", "high", "percent"),
+    _fact_sql(3, "forecast_vs_last_year", _YEAR_FACTS_SQL, "fc_year", "CAST(total - last_total AS DOUBLE) / last_total * 100", "last_total", "percent"),
+    _fact_sql(4, "forecast_quiet_period", _YEAR_FACTS_SQL, "trough", "trough_value", "low", "applications"),
+    _fact_sql(14, "model_accuracy", O.with_panel(f"{_year_sql()}\nSELECT model, MAPE, MAE FROM sel WHERE selected"), "model", "MAPE", "MAE", "percent"),
+]
+register("finding_facts", "\nUNION ALL ".join(_YEAR_FACTS + _HISTORY_FACTS))(
+    lambda spark, sf: FI.finding_facts(panel(spark, sf), _year_run(spark, sf)))
+register("finding_facts_history", "\nUNION ALL ".join(_HISTORY_FACTS))(lambda spark, sf: FI.finding_facts(panel(spark, sf)))
 register("findings_history", None)(lambda spark, sf: FI.generate_findings(panel(spark, sf)))
 
 # ============================================================================ streaming ingest

@@ -212,6 +212,56 @@ def model_accuracy(selection: DataFrame) -> DataFrame:
                 F.when(mape < 10, "positive").when(mape < 20, "neutral").otherwise("negative"))
 
 
+# --------------------------------------------------------------------------- typed facts
+def finding_facts(panel: DataFrame, run: dict | None = None, spec: FunnelSpec = DEFAULT_SPEC) -> DataFrame:
+    """The numbers behind the findings: ``(order_no, finding, subject, value, base, unit)``, one row each, in their order.
+
+    ``value`` is what the headline states, ``base`` the number it is read against, both as doubles; a finding whose
+    inputs do not qualify has no row.
+    """
+    def fact(df: DataFrame, order_no: int, finding: str, subject: Column, value, base, unit: str) -> DataFrame:
+        number = lambda c: (F.col(c) if isinstance(c, str) else c).cast("double")
+        return df.select(F.lit(order_no).alias("order_no"), F.lit(finding).alias("finding"), subject.cast("string").alias("subject"),
+                         number(value).alias("value"), number(base).alias("base"), F.lit(unit).alias("unit"))
+
+    shares = K.topn_share(panel, spec).where(F.col("n_entities") >= 3)
+    parts = [
+        fact(K.latest_growth(panel, spec), 5, "latest_growth", F.col("latest_year"), "growth_pct", "previous_total", "percent"),
+        fact(K.cagr(panel, spec), 6, "cagr", F.concat_ws("-", "first_year", "last_year"), "cagr_pct", "first_total", "percent"),
+        fact(K.peak_season_run(panel, spec), 7, "peak_season", F.concat_ws("-", "start_month", "end_month"), "peak_index", "run_length", "index"),
+        fact(K.trough_ratio(panel, spec), 8, "weakest_month", F.col("weakest_month"), "weakest_index", "peak_trough_ratio", "index"),
+        fact(K.funnel_bottleneck(panel, spec), 9, "bottleneck", F.concat_ws("-", "from_stage", "to_stage"), "dropoff_pct", "from_count", "percent"),
+        fact(K.funnel_efficiency(panel, spec), 10, "efficiency", F.lit("end_to_end"), "end_to_end_pct", "applications", "percent"),
+        fact(shares, 11, "concentration", F.col("leader"), "top5_share_pct", "n_entities", "percent"),
+        fact(K.fastest_growing(panel, spec), 12, "fastest_growing", F.col("entity"), "growth_pct", "mc_share_pct", "percent"),
+        fact(K.programme_leaders(panel, spec), 13, "programmes", F.col("dominant_programme"), "dominant_share_pct", "dominant_app_to_re_pct", "percent"),
+    ]
+    if run is not None:
+        table, p = run["table"], F.col("Predicted Applications")
+        label = F.col("Activity Level")
+        year = table.agg(
+            F.min_by("Month", F.struct(-p, F.col("month_number"))).alias("peak"), F.max(p).alias("peak_value"),
+            F.min_by("share_of_year_pct", F.struct(-p, F.col("month_number"))).alias("peak_share"),
+            F.min_by("Month", F.struct(p, F.col("month_number"))).alias("trough"), F.min(p).alias("trough_value"),
+            F.count_if(label == "High").alias("high"), F.count_if(label == "Low").alias("low"),
+            F.coalesce(F.sum(F.when(label == "High", F.col("share_of_year_pct"))), F.lit(0.0)).alias("high_share"),
+            F.sum(p).alias("total"), F.max(F.year(F.to_date("date"))).alias("fc_year"), F.count(F.lit(1)).alias("_n")).where("_n > 0")
+        last = A.yearly_summary(panel, spec).orderBy(F.col("year").desc()).limit(1)
+        against = year.withColumn("last_total", last.select("total_applications").scalar()).where("last_total > 0")
+        growth = (F.col("total") - F.col("last_total")) / F.col("last_total") * 100
+        parts += [
+            fact(year, 1, "forecast_peak", F.col("peak"), "peak_value", "peak_share", "applications"),
+            fact(year, 2, "forecast_high_months", F.col("fc_year"), "high_share", "high", "percent"),
+            fact(against, 3, "forecast_vs_last_year", F.col("fc_year"), growth, "last_total", "percent"),
+            fact(year, 4, "forecast_quiet_period", F.col("trough"), "trough_value", "low", "applications"),
+            fact(run["selection"].where("selected"), 14, "model_accuracy", F.col("model"), "MAPE", "MAE", "percent"),
+        ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def generate_findings(panel: DataFrame, run: dict | None = None, spec: FunnelSpec = DEFAULT_SPEC) -> DataFrame:
     """All findings in the fixed order; ``run`` is the output of ``plans.training.forecast_year``."""
     parts = []

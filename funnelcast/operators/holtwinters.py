@@ -1,127 +1,74 @@
-"""Additive Holt-Winters (M5) with a grid-searched smoothing triple, all origins at once.
-
-The source fits statsmodels' estimator per origin. Here the recursion is the SQL
-higher-order function ``aggregate`` run over a series' month array, **once per
-(series, parameter triple)**, recording the level, trend, seasonal terms and the
-cumulative one-step SSE after every month. Any origin ``o`` then reads its fitted
-state and in-sample SSE at position ``o`` — no refit per origin, no Python.
-
-* Initialisation (classical): level = mean of the first season, trend = difference
-  of the first two seasonal means / period, seasonals = first season - level. It
-  uses the first ``2 * period`` months, so seasonal fits serve origins >= 2*period;
-  shorter origins use a damped-free Holt linear run (level y0, trend y1 - y0).
-* Per (series, origin) the triple with the lowest SSE wins; ties go to the
-  smaller alpha, beta, gamma (deterministic, see SURVEY §7.5).
-* Group size is one series (bounded by the calendar); series are spread over the
-  cluster by the keys. This is a different estimator from statsmodels' — it is
-  a re-aim, not a numeric match.
+"""Additive Holt-Winters (M5) with estimated start values, all origins of all series in one job.
+
+The source's estimator minimises the squared one-step errors over the smoothing weights *and* the start
+values (level, trend, twelve seasonal values) at every origin. :mod:`funnelcast.operators.smoothing` does
+that for one series: start values by linear least squares, weights by a grid and a pattern search. Here a
+series travels as one array of its months (bounded by the calendar) and is exploded into jobs of a few
+origins each, dealt over the cluster; there is no driver loop over origins or series.
+
+Seasonal fits serve origins of two cycles or more, shorter ones get level and trend only; an origin below
+three months has no fit.
 """
 
 from __future__ import annotations
 
-from itertools import product
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
+
+from funnelcast.operators import smoothing
+from funnelcast.session import share_package
+
+STATE = "origin int, sse double, alpha double, beta double, gamma double, level double, trend double, season array<double>"
+ORIGINS_AT_ONCE = 8
 
-ALPHAS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
-BETAS = (0.01, 0.05, 0.1, 0.2)
-GAMMAS = (0.05, 0.1, 0.2, 0.3, 0.5)
-
-# one step of the additive recursion. ``sp`` (the seasonal term one period back)
-# and the new level are bound once through a one-element inner ``aggregate``
-# (a let-binding), so each step evaluates every sub-expression a single time.
-_STEP = """(acc, y) -> aggregate(
-    array(named_struct('sp', element_at(acc.s, acc.t + 1),
-                       'ln', p.alpha * (y - element_at(acc.s, acc.t + 1)) + (1 - p.alpha) * (acc.lv + acc.tr))),
-    acc,
-    (a, v) -> named_struct(
-        'lv', v.ln,
-        'tr', p.beta * (v.ln - a.lv) + (1 - p.beta) * a.tr,
-        's', concat(a.s, array(p.gamma * (y - v.ln) + (1 - p.gamma) * v.sp)),
-        'sse', a.sse + pow(y - (a.lv + a.tr + v.sp), 2),
-        'levels', concat(a.levels, array(v.ln)),
-        'trends', concat(a.trends, array(p.beta * (v.ln - a.lv) + (1 - p.beta) * a.tr)),
-        'errs', concat(a.errs, array(a.sse + pow(y - (a.lv + a.tr + v.sp), 2))),
-        't', a.t + 1))"""
-
-_EMPTY = "CAST(array() AS array<double>)"
-
-
-def _grid(seasonal: bool) -> list[tuple[float, float, float]]:
-    gammas = GAMMAS if seasonal else (0.0,)
-    return list(product(ALPHAS, BETAS, gammas))
-
-
-def _fit_runs(arrays: DataFrame, keys: list[str], seasonal: bool, period: int) -> DataFrame:
-    grid = F.array(
-        *[F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta"), F.lit(g).alias("gamma")) for a, b, g in _grid(seasonal)]
-    )
-    if seasonal:
-        s1 = f"aggregate(slice(ys, 1, {period}), 0D, (a, x) -> a + x) / {period}"
-        s2 = f"aggregate(slice(ys, {period + 1}, {period}), 0D, (a, x) -> a + x) / {period}"
-        init = (
-            f"named_struct('lv', {s1}, 'tr', ({s2} - {s1}) / {period}, "
-            f"'s', transform(slice(ys, 1, {period}), x -> x - {s1}), "
-            f"'sse', 0D, 'levels', {_EMPTY}, 'trends', {_EMPTY}, 'errs', {_EMPTY}, 't', 0)"
-        )
-        ok = F.size("ys") >= 2 * period
-    else:
-        init = (
-            f"named_struct('lv', element_at(ys, 1), 'tr', element_at(ys, 2) - element_at(ys, 1), "
-            f"'s', array_repeat(0D, {period}), 'sse', 0D, 'levels', {_EMPTY}, 'trends', {_EMPTY}, 'errs', {_EMPTY}, 't', 0)"
-        )
-        ok = F.size("ys") >= 2
-    n = F.size("ys")
-    lo = F.lit(2 * period) if seasonal else F.lit(2)
-    hi = n if seasonal else F.least(n, F.lit(2 * period - 1))
-    runs = arrays.where(ok & (hi >= lo)).select(*keys, "ys", lo.alias("_lo"), hi.alias("_hi"), F.explode(grid).alias("p"))
-    # spread (series x triple) runs over every core: a handful of series must not run in one task
-    runs = runs.repartition(arrays.sparkSession.sparkContext.defaultParallelism, *keys, "p")
-    return runs.select(
-        *keys, "_lo", "_hi",
-        F.col("p.alpha").alias("alpha"),
-        F.col("p.beta").alias("beta"),
-        F.col("p.gamma").alias("gamma"),
-        F.lit(seasonal).alias("seasonal"),
-        F.expr(f"aggregate(ys, {init}, {_STEP})").alias("fit"),
-    )
+
+def _fitter(keys: list[str], schema: StructType, period: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                fits = smoothing.fit(np.array(row["ys"], float), row["origins"], period)
+                if fits:
+                    columns = [pa.array([row[k]] * len(fits), arrow.field(k).type) for k in keys]
+                    columns += [pa.array([f[c.name] for f in fits], c.type) for c in list(arrow)[len(keys):]]
+                    yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return run
 
 
 def holt_winters_states(history: DataFrame, origin_rows: DataFrame, series_keys=(), period: int = 12) -> DataFrame:
-    """Best fitted state per (series, origin): ``(keys..., origin, origin_date, sse, alpha, beta, gamma, level, trend, season)``.
+    """Fitted state per (series, origin): ``(keys..., origin, origin_date, sse, alpha, beta, gamma, level, trend, season)``.
 
-    One recursion per (series, triple) serves every requested origin, so callers
-    that need several origin sets (backtest origins and the final origin) should
-    request them together and reuse the result.
+    ``season`` holds the next ``period`` months' terms. Callers that need several origin sets (backtest origins and the
+    final origin) should request them together and reuse the result.
     """
     keys = list(series_keys or ())
+    spark = history.sparkSession
+    share_package(spark)
     single = not keys
     if single:  # one total series: a constant key keeps every join an equi-join
         keys = ["_series"]
-        history = history.withColumn("_series", F.lit(0))
-        origin_rows = origin_rows.withColumn("_series", F.lit(0))
+        history, origin_rows = history.withColumn("_series", F.lit(0)), origin_rows.withColumn("_series", F.lit(0))
     arrays = history.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rn", "y"))), lambda s: s["y"]).alias("ys")
-    )
-    runs = _fit_runs(arrays, keys, True, period).unionByName(_fit_runs(arrays, keys, False, period))
-    # per-origin fitted state, unrolled inside each run: seasonal fits serve origins >= 2*period,
-    # the Holt linear fits the shorter ones
-    states = runs.select(
-        *keys, "alpha", "beta", "gamma",
-        F.inline(F.expr(
-            "transform(sequence(_lo, _hi), o -> named_struct('origin', o, 'sse', element_at(fit.errs, o), "
-            "'level', element_at(fit.levels, o), 'trend', element_at(fit.trends, o), "
-            f"'season', slice(fit.s, o + 1, {period})))"
-        )),
-    )
-    o = origin_rows.select(*keys, F.col("rn").alias("origin"), F.col("date").alias("origin_date"))
-    states = states.join(o.select(*keys, "origin"), [*keys, "origin"], "left_semi")
-    # lowest SSE wins, ties to the smaller alpha, beta, gamma: min over an ordered struct,
-    # a map-side partial aggregate instead of a sort per group
-    best = states.groupBy(*keys, "origin").agg(
-        F.min(F.struct(F.round("sse", 6).alias("sse"), "alpha", "beta", "gamma", "level", "trend", "season")).alias("b")
-    ).select(*keys, "origin", "b.*").join(o, [*keys, "origin"])
+        F.transform(F.array_sort(F.collect_list(F.struct("rn", "y"))), lambda s: s["y"].cast("double")).alias("ys"))
+    wanted = origin_rows.select(*keys, F.col("rn").cast("int").alias("origin"), F.col("date").alias("origin_date"))
+    asked = wanted.groupBy(*keys).agg(F.array_sort(F.collect_set("origin")).alias("o"))
+    last = F.floor((F.size("o") - 1) / ORIGINS_AT_ONCE).cast("int")
+    some = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("o", i * ORIGINS_AT_ONCE + 1, ORIGINS_AT_ONCE))
+    jobs = arrays.join(asked, keys).select(*keys, "ys", F.explode(some).alias("origins"))
+    jobs = jobs.select(*keys, F.slice("ys", 1, F.array_max("origins")).alias("ys"), "origins")  # nothing after the last origin
+    # a single series must not be fitted by one task; many series need no more tasks than a shuffle has
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    schema = StructType([StructField(k, history.schema[k].dataType) for k in keys] + StructType.fromDDL(STATE).fields)
+    fits = jobs.repartition(tasks, *keys, "origins").mapInArrow(_fitter(keys, schema, period), schema)
+    best = fits.join(wanted, [*keys, "origin"])
     return best.drop("_series") if single else best
 
 

@@ -14,6 +14,8 @@ import pytest
 from funnelcast.operators import evaluation as EV
 from funnelcast.operators import forecast as FC
 from funnelcast.operators import reports as A
+from funnelcast.operators.holtwinters import holt_winters_forecasts
+from funnelcast.plans import training as TR
 
 # FIXED VALUES: the published monthly series (Jan 2022 .. Dec 2025, applications per month)
 SERIES = (
@@ -105,3 +107,24 @@ def test_feature_rows_match_published(history):
     for day, expected in PUBLISHED_FEATURES.items():
         for name, value in zip(names, expected):
             assert rows[day][name] == pytest.approx(value, rel=1e-9, abs=1e-9), (day, name)
+
+
+# FIXED VALUES: published scores of Holt-Winters (MAE, RMSE, MAPE) and its forecast of the next year (total, peak, peak month)
+PUBLISHED_HW = (198.02, 241.17, 12.88)
+PUBLISHED_YEAR = (21112, 2166, 3)
+
+
+def test_holt_winters_reaches_the_published_scores_and_is_selected(history):
+    bt = TR.backtest(history, models=TR.WINDOW_CANDIDATES)
+    metrics = EV.backtest_metrics(bt)
+    got = metrics.where("model = 'holt_winters'").first()
+    assert [got[m] for m in ("MAE", "RMSE", "MAPE")] == pytest.approx(PUBLISHED_HW, rel=1e-3)
+    assert EV.model_selection(metrics).where("selected").first()["model"] == "holt_winters"
+
+
+def test_holt_winters_forecasts_the_published_year(history):
+    year = holt_winters_forecasts(history, FC.final_origins(history), (), 12).collect()
+    values = {r["step"]: round(r["y_pred"]) for r in year}
+    peak = max(values, key=values.get)
+    assert sum(values.values()) == pytest.approx(PUBLISHED_YEAR[0], rel=2e-3)
+    assert (values[peak], peak) == (pytest.approx(PUBLISHED_YEAR[1], rel=5e-3), PUBLISHED_YEAR[2])
