@@ -24,27 +24,42 @@ def smooth(potentials: np.ndarray, start: np.ndarray, move: np.ndarray, lens: np
     start, move = start.astype(np.float32), move.astype(np.float32)
     steps = len(border) - 1
     alpha, scale, one = np.empty_like(e), np.empty(len(token), np.float32), np.ones(k, np.float32)
+    bounds = border.tolist()
     for t in range(steps):
-        a, b = border[t], border[t + 1]
-        x = e[a:b] * start if t == 0 else np.dot(alpha[border[t - 1] : border[t - 1] + b - a], move) * e[a:b]
-        s = np.dot(x, one)
-        scale[a:b] = s
-        np.divide(x, s[:, None], out=alpha[a:b])
+        a, b = bounds[t], bounds[t + 1]
+        x = alpha[a:b]
+        if t == 0:
+            np.multiply(e[a:b], start, out=x)
+        else:
+            before = bounds[t - 1]
+            np.dot(alpha[before : before + b - a], move, out=x)
+            x *= e[a:b]
+        s = scale[a:b]
+        np.dot(x, one, out=s)
+        x /= s[:, None]
     rank = np.arange(len(token)) - np.repeat(border[:-1], np.diff(border))
     ll[order] = np.bincount(rank, weights=np.log(scale.astype(np.float64)), minlength=len(lens))
     if not backward:
         return ll, *none
-    pairs = np.zeros((k, k))
-    back = np.ones((int(border[-1] - border[-2]), k), np.float32)
+    # beyond[slot]: weight of the next tokens times this token's potential; marginals take the place of the potentials
+    beyond, turned = np.empty_like(e), np.ascontiguousarray(move.T)
+    back = np.ones((bounds[-1] - bounds[-2], k), np.float32)
     for t in range(steps - 1, 0, -1):
-        a, b, p = border[t], border[t + 1], border[t - 1]
-        eb = e[a:b] * back / scale[a:b, None]
-        pairs += np.dot(alpha[p : p + b - a].T, eb)
-        before = np.ones((int(a - p), k), np.float32)
-        before[: b - a] = np.dot(eb, move.T)
-        alpha[a:b] *= back
-        back = before
-    alpha[: border[1]] *= back
-    marginals = np.empty_like(alpha)
-    marginals[token] = alpha
-    return ll, marginals, pairs * move, alpha[: border[1]].sum(0, dtype=np.float64)
+        a, b, p = bounds[t], bounds[t + 1], bounds[t - 1]
+        eb = beyond[a:b]
+        np.multiply(e[a:b], back, out=eb)
+        eb /= scale[a:b, None]
+        np.multiply(alpha[a:b], back, out=e[a:b])
+        back = np.ones((a - p, k), np.float32)
+        np.dot(eb, turned, out=back[: b - a])
+    np.multiply(alpha[: bounds[1]], back, out=e[: bounds[1]])
+    later = np.arange(bounds[1], len(token))
+    earlier = later - np.repeat(np.diff(border)[:-1], np.diff(border)[1:])  # the same sequence one step before
+    pairs = np.zeros((k, k))
+    for first in range(0, len(later), 1 << 17):
+        some = slice(first, first + (1 << 17))
+        pairs += np.dot(alpha[earlier[some]].T, beyond[later[some]])
+    first = e[: bounds[1]].sum(0, dtype=np.float64)
+    marginals = alpha  # done with: its room is taken
+    marginals[token] = e
+    return ll, marginals, pairs * move, first

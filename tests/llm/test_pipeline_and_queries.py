@@ -31,7 +31,7 @@ def test_stages_follow_one_another(spark, documents):
 
 def test_queries_are_registered_with_their_columns(spark):
     found = entry.queries()
-    assert [n for n in range(1, 11) if not any(re.match(rf"op{n}_", q) for q in found)] == [] and "pipeline" in found
+    assert [n for n in range(1, 14) if not any(re.match(rf"op{n}_", q) for q in found)] == [] and "pipeline" in found
     assert set(queries.ORACLE) <= set(queries.QUERIES)
     assert found["op8_grace_exact_dedup"](spark, SF).columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
 
