@@ -1255,11 +1255,11 @@ c AS (SELECT origin, feature, x FROM o JOIN l ON rn <= origin AND rn > warm),
 m AS (SELECT origin, feature, coalesce(quantile_cont(x, 0.5), 0.0) AS median FROM c GROUP BY origin, feature),
 s AS (SELECT origin, feature, count(*) AS n_rows, any_value(median) AS median, avg(coalesce(x, median)) AS mean,
              stddev_pop(coalesce(x, median)) AS sd FROM c JOIN m USING (origin, feature) GROUP BY origin, feature)
-SELECT model, CAST(origin AS INTEGER) AS origin, feature, n_rows, {O.r6('median')} AS median, {O.r6('mean')} + 0.0 AS mean,
+SELECT model, CAST(origin AS INTEGER) AS origin, feature, n_rows, {O.r6('median')} + 0.0 AS median, {O.r6('mean')} + 0.0 AS mean,
        {O.r6('CASE WHEN sd <= 1e-12 * abs(mean) THEN 1.0 ELSE sd END')} AS deviation, CAST(0.0 AS DOUBLE) AS gradient
 FROM s CROSS JOIN (VALUES ('linear_regression'), ('ridge')) v(model)"""),
 )(lambda spark, sf: OM.linear_audit(OM.fit_origins(rows := _learner_rows(spark, sf), models=("linear_regression", "ridge")), rows).withColumn(
-    "mean", F.round("mean", 6) + 0.0))
+    "mean", F.round("mean", 6) + 0.0).withColumn("median", F.round("median", 6) + 0.0))
 
 
 def _ensemble_checks(spark, sf):
