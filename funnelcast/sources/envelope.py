@@ -31,8 +31,7 @@ def write_envelope(pages: DataFrame, path: str, metadata: dict | None = None, fa
                    version: int | None = None, source: str | None = None) -> int:
     """Add one collection of windows to ``path``; returns its version.
 
-    Records go to ``path/records/version=<v>`` as JSON lines, range-partitioned by month so that small months share a
-    file and large ones are split; then the provenance row (``path/metadata``), the manifest last: a collection whose
+    Records go to ``path/records/version=<v>`` as JSON lines, a file for each partition of ``pages``; then the provenance row (``path/metadata``), the manifest last: a collection whose
     writer was lost has no manifest rows and is not read. ``failures``: (month, product, reason) of windows that
     could not be collected. ``source`` names the collector (default: the path): versions replace each other within it.
     """
@@ -42,19 +41,20 @@ def write_envelope(pages: DataFrame, path: str, metadata: dict | None = None, fa
     own = pages.select(F.lit(source).alias("source"), "month", F.col("record_product").alias("product"), F.lit(version).cast("bigint").alias("version"),
                        F.parse_json("page").alias("page") if dict(pages.dtypes)["page"] == "string" else F.col("page"))
     lines = own.select("month", F.to_json(F.struct("source", "month", "product", "version", F.array("page").alias("pages"))).alias("value"))
-    lines = lines.repartitionByRange("month", F.xxhash64("value")).select("value")
-    lines.write.mode("overwrite").text(f"{path}/records/version={version}")
-    good = own.groupBy("source", "month", "product", "version").agg(F.count(F.lit(1)).alias("pages")).withColumns(
+    lines.select("value").write.mode("overwrite").text(f"{path}/records/version={version}")
+    written = spark.read.text(f"{path}/records/version={version}")  # counted from the files: the pages are made once
+    window = written.select(F.lit(source).alias("source"), F.get_json_object("value", "$.month").alias("month"),
+                            F.get_json_object("value", "$.product").alias("product"), F.lit(version).cast("bigint").alias("version"))
+    good = window.groupBy("source", "month", "product", "version").agg(F.count(F.lit(1)).alias("pages")).withColumns(
         {"status": F.lit("ok"), "reason": F.lit(None).cast("string")})
     if failures is not None:
         bad = failures.select(F.lit(source).alias("source"), "month", "product", F.lit(version).cast("bigint").alias("version"),
                               F.lit(0).cast("bigint").alias("pages"), F.lit("failed").alias("status"), "reason")
         good = good.unionByName(bad)
     manifest = good.withColumn("collected_at", F.current_timestamp())
-    written = spark.read.text(f"{path}/records/version={version}")
     extras = [F.lit(str(v)).alias(k) for k, v in sorted((metadata or {}).items())]
     failed = failures.count() if failures is not None else 0
-    counts = written.agg(F.count(F.lit(1)).alias("record_count"), F.count_distinct(F.get_json_object("value", "$.month")).alias("months"))
+    counts = window.agg(F.count(F.lit(1)).alias("record_count"), F.count_distinct("month").alias("months"))
     counts.select("*", F.lit(failed).alias("failed_windows"), *extras, F.lit(version).alias("version"), F.current_timestamp().alias("collected_at")).coalesce(
         1).write.mode("append").json(f"{path}/metadata")
     manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest/version={version}")
