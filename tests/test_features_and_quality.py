@@ -115,3 +115,19 @@ def test_missing_columns_stop_early(spark):
 
 def test_reconcile_totals_zero_delta(panel_small):
     assert all(r["delta"] == 0 for r in V.reconcile_totals(panel_small).collect())
+
+
+def test_feature_correlation_with_constant_and_missing_columns(spark):
+    rows = [(0.1, 1.0, None, 3.0, 2.0), (0.1, 3.0, None, None, 5.0), (0.1, 2.0, None, 1.0, 3.0), (0.1, 9.0, None, 3.0, None)]
+    m = spark.createDataFrame(rows, "a double, b double, c double, d double, y double").repartition(4)
+    got = FE.feature_correlation(m, ("a", "b", "c", "d")).collect()
+    assert [r["feature"] for r in got] == ["d", "b", "a", "c"]  # undefined ones last
+    r = {x["feature"]: x["correlation"] for x in got}
+    assert r["b"] == pytest.approx(0.98198051)
+    assert r["d"] == pytest.approx(-1.0) and math.isnan(r["a"]) and r["c"] is None
+
+
+def test_feature_correlation_over_a_flat_target(spark):
+    m = spark.createDataFrame([(1.0, 4.0), (2.0, 4.0)], "a double, y double")
+    assert math.isnan(FE.feature_correlation(m, ("a",)).first()["correlation"])
+    assert FE.feature_correlation(m.limit(0), ("a",)).first()["correlation"] is None
