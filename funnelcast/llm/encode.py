@@ -28,7 +28,7 @@ import json
 import os
 import re
 from functools import lru_cache
-from itertools import chain, compress
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -147,29 +147,32 @@ class Encoder:
     def _learn(self, units: list[str]) -> None:
         if not self.drops_space:
             return self._learn_blank_led(units)
-        plain = _PLAIN.fullmatch
-        latin = [u for u in units if plain(u)]
+        plain = [one is not None for one in map(_PLAIN.fullmatch, units)]
+        latin = list(compress(units, plain))
         if latin:
             letters, tokenize = self.letters, self.model.tokenize
             lowered = "\n".join(latin).lower().split("\n")
             ids = [[t.id for t in tokenize(u if u.isascii() else u.translate(letters))] for u in lowered]
             self._add_many(latin, np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int32, len(ids)))
-        rest = [u for u in units if not plain(u)]
+        rest = [u for u, one in zip(units, plain) if not one]
         for u, one in zip(rest, self._library(rest)):
             self._add(u, one)
 
+    def _known(self, units: np.ndarray) -> np.ndarray:
+        """Memo codes of the units, -1 where the memo has none."""
+        return np.fromiter(map(self.memo.get, units.tolist(), repeat(-1)), np.int64, len(units))
+
     def _codes(self, units: pa.Array) -> np.ndarray:
         """Memo codes of the units, learning new ones."""
         if len(self.memo) > MEMO:
             self._sweep()
         coded = units.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        get = self.memo.get
-        codes = [get(u) for u in distinct]
-        if None in codes:
-            self._learn([u for u, c in zip(distinct, codes) if c is None])
-            codes = [get(u) for u in distinct]
-        codes = np.array(codes, np.int64)
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False)  # as objects: several times faster than to_pylist
+        codes = self._known(distinct)
+        new = np.flatnonzero(codes < 0)
+        if len(new):
+            self._learn(distinct[new].tolist())
+            codes[new] = self._known(distinct[new])
         self.met[codes] = True
         return codes[coded.indices.to_numpy()]
 

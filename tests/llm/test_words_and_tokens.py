@@ -88,6 +88,24 @@ def test_sweeps_of_the_memo_change_nothing(path, monkeypatch):
         assert per.tolist() == [len(x) for x in expected] and ids.tolist() == [i for x in expected for i in x]
 
 
+@pytest.mark.parametrize("path", [WORD_FILE, BYTE_FILE])
+def test_only_new_units_are_looked_up_twice(path):
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+    enc = encode.Encoder(path)
+    enc.memo = Counted()
+    enc.encode(pa.array([" ".join(f"unit{i}" for i in range(300))], pa.string()))
+    met, asked = len(enc.memo), enc.memo.asked
+    assert asked == 2 * met
+    enc.encode(pa.array([" ".join(f"unit{i}" for i in range(300)) + " another"], pa.string()))
+    assert enc.memo.asked - asked == met + 2 * (len(enc.memo) - met)
+
+
 def test_time_major_visits_every_token_once():
     order, token, border = words.time_major(np.array([3, 1, 0, 4]))
     assert order.tolist() == [3, 0, 1, 2] and sorted(token.tolist()) == list(range(8)) and border.tolist() == [0, 3, 5, 7, 8]
