@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .chains import smooth
+from .chains import expected, log_weights
 from .common import crc_is, discard, materialise
 
 FREQUENT, FORMS = 1 << 14, 1 << 11
@@ -180,17 +180,10 @@ class Model:
         self.move = move / move.sum(1, keepdims=True)
 
 
-def forward_backward(model: Model, classes: np.ndarray, lens: np.ndarray, train: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """Log likelihood (natural) of each class sequence by the scaled forward recursion, and the expected counts."""
-    k = len(model.start)
-    ll, marginals, moves, first = smooth(model.emit.astype(np.float32)[classes], model.start, model.move, lens, train)
-    if not train:
-        return ll, None
-    counts = np.zeros((CLASSES + 1 + k, k))
-    for j in range(k if len(marginals) else 0):
-        counts[:CLASSES, j] = np.bincount(classes, weights=marginals[:, j], minlength=CLASSES)
-    counts[CLASSES], counts[CLASSES + 1 :] = first, moves
-    return ll, counts
+def expected_counts(model: Model, classes: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Expected counts of class sequences by forward-backward: CLASSES rows of emissions, then starts, then transitions."""
+    emissions, moves, first = expected(model.emit, classes, model.start, model.move, lens)
+    return np.concatenate([emissions, first[None], moves])
 
 
 def _round(model: Model):
@@ -202,7 +195,7 @@ def _round(model: Model):
             lens, held = np.array(row["lens"], np.int64), np.array(row["held"], bool)
             classes = _word_classes(row, model.threshold)[_unpack(row["codes"])][np.repeat(~held, lens)]
             if len(classes):
-                total += forward_backward(model, classes, lens[~held], True)[1]
+                total += expected_counts(model, classes, lens[~held])
         yield _emit(total)
 
     return run
@@ -219,7 +212,7 @@ def _score(model: Model):
             doc = np.repeat(np.arange(len(lens)), lens)
             log_c = np.bincount(doc, weights=np.log(counts + 1.0)[codes], minlength=len(lens))
             within = np.bincount(doc, weights=(np.log(counts + 1.0) - logs[cls])[codes], minlength=len(lens))
-            ll, _ = forward_backward(model, cls[codes], lens, False)
+            ll = log_weights(model.emit, cls[codes], model.start, model.move, lens)  # natural, of the class sequence
             yield pa.RecordBatch.from_arrays([
                 pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(lens),
                 pa.array(np.bincount(doc, weights=(counts > 0)[codes], minlength=len(lens)).astype(np.int64)),

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from funnelcast.llm import hmm_lm, language, rule_classifier
-from funnelcast.llm.chains import smooth
+from funnelcast.llm.chains import expected, log_weights, smooth
 from .conftest import ODD
 
 
@@ -39,6 +39,22 @@ def test_forward_backward_against_all_paths():
     assert np.allclose(pairs, all_pairs, atol=1e-3) and np.allclose(first, all_first, atol=1e-4)
 
 
+def test_sums_by_class_equal_the_marginals_of_each_token():
+    rng = np.random.default_rng(8)
+    table, start, move = rng.random((50, 4)) + 0.01, rng.dirichlet(np.ones(4)), rng.dirichlet(np.ones(4), 4)
+    lens = np.array([7, 1, 0, 40, 7, 300])
+    classes = rng.integers(0, 49, lens.sum()).astype(np.int32)
+    ll, marginals, pairs, first = smooth(table[classes], start, move, lens, True)
+    by_class = np.zeros((50, 4))
+    np.add.at(by_class, classes, marginals)
+    sums, moves, starts = expected(table, classes, start, move, lens)
+    assert np.allclose(sums, by_class) and sums.sum() == pytest.approx(lens.sum(), rel=1e-5) and not sums[49].any()
+    assert np.array_equal(moves, pairs) and np.array_equal(starts, first)
+    assert np.array_equal(log_weights(table, classes, start, move, lens), ll)
+    none = np.empty(0, np.int64)
+    assert not any(x.any() for x in expected(table, none, start, move, none)) and log_weights(table, none, start, move, np.zeros(2, np.int64)).tolist() == [0, 0]
+
+
 def held(i, mod, r):
     return i is not None and zlib.crc32(str(i).encode()) % mod == r
 
